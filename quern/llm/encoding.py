@@ -26,7 +26,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"  # or QUERN_TOKENIZER
 KEPT_WORDS = 200_000  # words a task keeps encoded
 BLOCK_CHARS = 1_000_000  # of the texts that are put together at once
 NONE = np.int32(2**31 - 1)
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def vocabulary_path() -> str:

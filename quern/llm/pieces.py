@@ -23,8 +23,8 @@ FIELDS = ("text", "prompt_2_shot")
 # Boundaries, the strongest first; a cut is at the end of a match.
 BOUNDARIES = [
     re.compile(r"(?:\r\n|[\n\r ])[ \t]*(?:\r\n|[\n\r ])\s*"),
-    re.compile(r"\r\n|[\n\r  \u0085]"),
-    re.compile(r"(?:[.!?…][\"'”’»)\]]*\s+)|[。！？][”’」』]?"),
+    re.compile(r"\r\n|[\n\r  \x85]"),
+    re.compile(r"(?:[.!?…][\"'”’\xbb)\]]*\s+)|[。！？][”’」』]?"),
     re.compile(r"[,;:—–][\"'”’)\]]*\s+|[，；：、]|\s(?=[(“\"])"),
     re.compile(r"\s+"),
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import labels, overlaps, pieces, terms
+from . import containers, encoding, labels, lookalikes, overlaps, pieces, terms
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,9 @@ QUERIES = {
         terms.p2_found, terms.p2_counts,
         pieces.p4_found, pieces.p4_pieces,
         overlaps.p5_found, overlaps.p5_report,
+        encoding.p6_ids,
+        containers.p7_containers, containers.p7_fill,
+        lookalikes.p8_found, lookalikes.p8_forms,
     )
 }
 

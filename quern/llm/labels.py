@@ -209,10 +209,14 @@ class Vocabulary:
                     held, gap = [], 0
         if best[2] >= 0 and best[0] >= 0.6:
             return best[2]
-        return self.cut_off(tokens, partner, pairs)
+        if (x := self.cut_off(tokens, partner, pairs)) >= 0:
+            return x
+        return self.badly_slipped(tokens, partner, pairs)
 
     def means_single(self, words: tuple[str, ...], tokens: list[str]) -> bool:
-        rest = [t for t in tokens]
+        rest = list(tokens)
+        while len(rest) > 1 and rest[0] in AROUND and rest[0] != words[0]:
+            rest = rest[1:]
         text = "".join(words)
         core = [t for t in rest if t not in AROUND or t in words]
         joined = "".join(t for t in core if t != "relation" or "relation" in words)
@@ -261,6 +265,25 @@ class Vocabulary:
         return ids[0] if len(ids) == 1 else -1
 
 
+    def badly_slipped(self, tokens: list[str], partner: dict, pairs: dict) -> int:
+        """An entry of which one word is whole and the other at most three edits from exactly one partner of it."""
+        found: dict[int, int] = {}
+        for i, t in enumerate(tokens):
+            exact = [w for w, d in self.kept[t][0] if d == 0]
+            for j in (*range(i - 1, max(-1, i - 5), -1), *range(i + 1, min(len(tokens), i + 5))):
+                u = tokens[j]
+                if exact and len(u) >= 4 and u not in BETWEEN and not self.kept[u][0]:
+                    for b in partner.get(exact[0], ()):
+                        if len(b) >= 6 and abs(len(b) - len(u)) <= 3 and (d := int(osa([u], [b])[0, 0, len(u)])) <= 3:
+                            for label_id, _ in pairs[exact[0], b]:
+                                found[label_id] = min(found.get(label_id, 9), d)
+                if not (u in BETWEEN or len(u) <= 4):
+                    break
+        least = min(found.values(), default=9)
+        ids = [k for k, d in found.items() if d == least]
+        return ids[0] if len(ids) == 1 else -1
+
+
 def fold(x: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", x).lower().split())
 

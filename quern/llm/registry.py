@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import containers, encoding, labels, lookalikes, overlaps, pieces, terms
+from . import containers, defects, encoding, labels, lookalikes, overlaps, pieces, terms
 
 QUERIES = {
     f.__name__: f
     for f in (
         labels.p1_found, labels.p1_unmatched,
         terms.p2_found, terms.p2_counts,
+        defects.p3_found, defects.p3_by_model,
         pieces.p4_found, pieces.p4_pieces,
         overlaps.p5_found, overlaps.p5_report,
         encoding.p6_ids,

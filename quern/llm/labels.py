@@ -222,7 +222,7 @@ class Vocabulary:
         joined = "".join(t for t in core if t != "relation" or "relation" in words)
         if not joined:
             return False
-        for k in range(len(text) + 12, len(text) - 1, -1):  # repeated: only one copy counts
+        for k in range(len(text), len(text) + 12):  # repeated: only one copy counts
             if len(joined) > k and joined == (joined[:k] * (len(joined) // k + 1))[: len(joined)]:
                 joined = joined[:k]
                 break

@@ -116,6 +116,10 @@ def bigrams(docs: DataFrame) -> np.ndarray:
     return out.reshape(n, n)
 
 
+# A token of ASCII letters and marks of which one letter looks like none of another script: the only path without a change of script is itself.
+LATIN_ONLY = re.compile("(?=.*[{}])[A-Za-z\u0300-\u036f]*\\Z".format("".join(c for c in map(chr, range(128)) if c.isalpha() and c not in CLASS_OF)))
+
+
 class Reader(dict):
     """Token (decomposed) -> its form. score: log probabilities of bigrams."""
 
@@ -131,6 +135,8 @@ class Reader(dict):
         return x
 
     def read(self, token: str) -> str:
+        if LATIN_ONLY.match(token):
+            return token
         token = "".join(SAME_SCRIPT.get(c, c) for c in token)
         groups = [ALIKE[CLASS_OF[c]] if c in CLASS_OF else c for c in token]
         if all(len(g) == 1 for g in groups):

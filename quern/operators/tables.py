@@ -91,12 +91,11 @@ def full_grid(metrics: DataFrame) -> DataFrame:
     return d.groupBy("model_config").pivot("eval_dataset_name", DATASETS).agg(F.round(F.first("micro_f1"), 4))
 
 
-def row_mean(names: list[str], digits: int | None = 4) -> Column:
-    """Mean of some columns, nulls left out."""
-    total = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0))
+def row_mean(names: list[str]) -> Column:
+    """Mean of some columns of four digits, nulls left out, rounded half up to four digits in whole units, so that ties don't depend on the order of the sum."""
+    units = sum((F.coalesce(F.round(F.col(n) * 10000).cast("long"), F.lit(0)) for n in names), F.lit(0))
     k = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
-    x = F.when(k > 0, total / k)
-    return x if digits is None else F.round(x, digits)
+    return F.when(k > 0, F.floor((2 * units + k) / (2 * k)) / 10000)
 
 
 def heatmap(metrics: DataFrame) -> DataFrame:

@@ -103,7 +103,8 @@ def aligned(rows: DataFrame, comparisons: list[Comparison] = COMPARISONS, normal
     d = drop_duplicates(d, ["eval_dataset_name", *CONFIG, "prompt_hash", "relation"], "gen_id")
     occ = F.row_number().over(Window.partitionBy("eval_dataset_name", *CONFIG, "prompt_hash").orderBy("relation"))
     norm = T.NORMALIZERS[normalizer]
-    d = d.select("eval_dataset_name", "prompt_hash", occ.alias("occ"), norm(F.col("relation")).alias("gold"), norm(F.col("generated_relation")).alias("pred"), F.explode(sides(comparisons)).alias("x"))
+    d = d.withColumn("occ", occ)  # before the rows are multiplied by comparison
+    d = d.select("eval_dataset_name", "prompt_hash", "occ", norm(F.col("relation")).alias("gold"), norm(F.col("generated_relation")).alias("pred"), F.explode(sides(comparisons)).alias("x"))
     of = lambda side, c: F.max(F.when(F.col("x.side") == side, F.col(c))).alias(f"{c}_{side}")
     d = d.groupBy(F.col("x.comparison").alias("comparison"), "eval_dataset_name", "prompt_hash", "occ").agg(*[of(s, c) for s in "ab" for c in ("gold", "pred")])
     return d.where("gold_a is not null and gold_b is not null")

@@ -55,13 +55,14 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: T.StructType,
 
 def read_csv_text(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """CSV as text only: malformed rows are left out, undecodable bytes replaced; empty fields are empty texts."""
-    return spark.read.csv(path, schema=schema(**{c: S for c in columns}), header=True, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED", encoding="UTF-8", nullValue="\x00", emptyValue="")
+    df = spark.read.csv(path, schema=schema(**{c: S for c in columns}), header=True, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED", encoding="UTF-8")
+    return df.fillna("")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """CSV whose header names the columns, all of them text; a byte order mark before the first name is ignored."""
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+    return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
 
 
 def number(c: Column, digits: int = 4) -> Column:

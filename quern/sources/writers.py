@@ -18,13 +18,13 @@ def append(df: DataFrame, path: str, fmt: str) -> None:
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is none of {FORMATS}")
     w = df.write.mode("append")
-    w.csv(path, header=True, quote='"', escape='"') if fmt == "csv" else w.parquet(path)
+    w.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quote='"', escape='"') if fmt == "csv" else w.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False, by: list[str] = ()) -> None:
     """Write a new table, partitioned by some columns; raises if it is there and overwrite is not set."""
     w = df.write.mode("overwrite" if overwrite else "errorifexists").format(fmt).partitionBy(*by)
-    (w.option("header", True).option("escape", '"') if fmt == "csv" else w).save(path)
+    (w.option("header", True).option("escape", chr(34)).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) if fmt == "csv" else w).save(path)
 
 
 def best_flags(matrix: DataFrame, columns: list[str]) -> DataFrame:

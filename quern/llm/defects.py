@@ -344,7 +344,7 @@ def synthetic(prompts: list[str], labels: list[str], foreign: list[str], rng: np
             add("Answer: " + x if rng.random() < 0.3 else x, "copy")
         # in another language
         for _ in range(3):
-            opening, *ties = pick(FOREIGN[:10] if rng.random() < 0.8 else FOREIGN)
+            opening, *ties = pick(FOREIGN[:10] if rng.random() < 0.5 else FOREIGN)
             x = (opening if rng.random() < 0.25 else "") + pick(ties) if rng.random() < 0.6 or not foreign else pick(foreign)
             if rng.random() < 0.3:
                 x = f"{a} {x} {b}" if rng.random() < 0.7 else f"{x} {b}"

@@ -89,6 +89,12 @@ class Encoder:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
+    def rerank(self, sym: np.ndarray, word: np.ndarray, rank: np.ndarray, at: np.ndarray) -> None:
+        rank[at] = NONE
+        at = at[at + 1 < len(sym)]
+        at = at[word[at] == word[at + 1]]
+        rank[at] = self.ranks(sym[at], sym[at + 1])
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and how many each has."""
         raw = [w.encode("utf-8", "replace") for w in words]
@@ -96,21 +102,18 @@ class Encoder:
         sym = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), lens)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(sym), NONE)  # of each symbol's pair with the next one of its word
+        self.rerank(sym, word, rank, np.arange(len(sym)))
         while len(sym):
-            rank = np.full(len(sym), NONE)
-            inside = word[1:] == word[:-1]
-            if inside.any():
-                at = np.nonzero(inside)[0]
-                rank[at] = self.ranks(sym[at], sym[at + 1])
-            begins = np.nonzero(np.r_[True, ~inside])[0]
+            begins = np.nonzero(np.r_[True, word[1:] != word[:-1]])[0]
             least = np.minimum.reduceat(rank, begins)
             sizes = np.diff(np.r_[begins, len(sym)])
-            over = np.repeat(least == NONE, sizes)
+            over = least == NONE
             if over.any():
-                done.append((word[over], sym[over]))
-                keep = ~over
-                sym, word, rank = sym[keep], word[keep], rank[keep]
-                least, sizes = least[least != NONE], sizes[least != NONE]
+                over_at = np.repeat(over, sizes)
+                done.append((word[over_at], sym[over_at]))
+                sym, word, rank = sym[~over_at], word[~over_at], rank[~over_at]
+                least, sizes = least[~over], sizes[~over]
                 if not len(sym):
                     break
             hit = np.nonzero(rank == np.repeat(least, sizes))[0]
@@ -121,7 +124,9 @@ class Encoder:
             sym[hit] = self.result[rank[hit]]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            at = hit - np.arange(len(hit))  # where the merged symbols are now; their pairs and those before them are new
+            self.rerank(sym, word, rank, np.union1d(at, at[at > 0] - 1))
         if not done:
             return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         word, sym = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])

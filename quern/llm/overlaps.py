@@ -46,15 +46,14 @@ def not_blank(c: Column) -> Column:
 
 
 def apart(a: list, b: list, most: int) -> int:
-    """Word edit distance of a and b, or more than most if it is that."""
-    while a and b and a[0] == b[0]:
-        i = 0
-        n = min(len(a), len(b))
-        while i < n and a[i] == b[i]:
-            i += 1
-        a, b = a[i:], b[i:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
+    """Word edit distance of a and b, or more than most if it is that. Bands of growing width are tried, so texts with few differences cost little, however long."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > most:
@@ -64,16 +63,35 @@ def apart(a: list, b: list, most: int) -> int:
     ids: dict = {}
     x = np.array([ids.setdefault(w, len(ids)) for w in a])
     y = np.array([ids.setdefault(w, len(ids)) for w in b])
-    n, steps = len(y), np.arange(len(y) + 1)
-    d = steps.copy()
-    for i, w in enumerate(x, 1):  # a row at a time; insertions within the row by a running minimum
-        new = np.empty(n + 1, d.dtype)
-        new[0] = i
-        new[1:] = np.minimum(d[1:] + 1, d[:-1] + (y != w))
+    reach = 8
+    while True:
+        reach = min(max(reach, len(b) - len(a)), most)
+        d = banded(x, y, reach)
+        if d <= reach or reach == most:
+            return d if d <= most else most + 1
+        reach *= 4
+
+
+def banded(x: np.ndarray, y: np.ndarray, reach: int) -> int:
+    """Edit distance of x and y if it is at most reach, else something larger."""
+    m, steps = len(y), np.arange(2 * reach + 1)
+    far = m + len(x) + 1
+    padded = np.r_[np.full(reach, -1), y, np.full(reach + len(x) + 1, -2)]
+    d = np.where(steps >= reach, steps - reach, far)  # cell k of row i is column i - reach + k
+    d[steps - reach > m] = far
+    for i in range(1, len(x) + 1):
+        col = i - reach + steps
+        diag = d + (padded[i - 1 : i + 2 * reach] != x[i - 1])
+        up = np.r_[d[1:] + 1, far]
+        new = np.minimum(diag, up)
+        new[col == 0] = i
+        new[(col < 0) | (col > m)] = far
         d = np.minimum.accumulate(new - steps) + steps
-        if d.min() > most:
-            return most + 1
-    return int(d[n])
+        d[(col < 0) | (col > m)] = far
+        if d.min() > reach:
+            return far
+    k = m - len(x) + reach
+    return int(d[k]) if 0 <= k <= 2 * reach else far
 
 
 def weight2(df: float, n: float) -> float:

@@ -114,3 +114,35 @@ def src_s11_write_table(spark, sf):
 @query("select row_id, eval_dataset_name, model_shot, input_tokens from frontier_generation")
 def src_frontier_schema(spark, sf):
     return spark.read.parquet(f"{sf}/frontier_generation.parquet").select("row_id", "eval_dataset_name", "model_shot", "input_tokens")
+
+
+KEPT = ["eval_dataset_name", "model_id", "tuned_dataset_name", "model_shot", "prompt_shot", "gen_type", "prompt_0_shot", "relation", "generated_relation", "written_at"]
+
+
+@query(f"select eval_dataset_name, count(*) as n from (select distinct {', '.join(KEPT)} from generation) group by all")
+def stream_ingest(spark, sf):
+    """Shards streamed into a table, rows merged twice dropped, then counted."""
+    from quern.streaming import ingest
+
+    at = folder(spark)
+    g = generation(spark, sf).select(*KEPT)
+    O.append(g, f"{at}/in", "parquet")
+    ingest.append_new(ingest.stream(spark, f"{at}/in", g.schema), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("eval_dataset_name").agg(F.count("*").alias("n"))
+
+
+@query("select date_trunc('hour', written_at) as start, eval_dataset_name, model_id, count(*) as n from generation group by all")
+def stream_windows(spark, sf):
+    """Rows by hour, dataset and model, kept up by a stream."""
+    from quern.streaming import ingest
+
+    at = folder(spark)
+    g = generation(spark, sf).select("eval_dataset_name", "model_id", "relation", "generated_relation", "written_at")
+    O.append(g, f"{at}/in", "parquet")
+    d = ingest.accuracy_by_window(ingest.stream(spark, f"{at}/in", g.schema))
+
+    def put(batch, number):
+        batch.write.mode("overwrite").parquet(f"{at}/out")
+
+    d.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "eval_dataset_name", "model_id", "n")

@@ -12,8 +12,9 @@ from quern.functions import text as X
 
 
 def stream(spark: SparkSession, folder: str, schema: T.StructType, per_trigger: int = 100) -> DataFrame:
-    """New Parquet shards of a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    """New Parquet shards of a folder. Times without zone are read as of the session's, as event time needs one."""
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
 def append_new(df: DataFrame, table: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:

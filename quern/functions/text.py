@@ -94,23 +94,32 @@ def system_prompt(template: Column, labels: Column) -> Column:
     return F.replace(template, F.lit("{allowed_labels}"), labels)
 
 
+MESSAGES = "array<struct<role:string,content:string>>"
 DEMO = r"(?s)(.*?)\r?\nAnswer:\s*(.*?)(?:\r?\n\r?\n|$)"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: functions of arrays are not part of generated code, where equal expressions are shared."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def unravel(c: Column) -> Column:
     """A few-shot prompt as messages array<struct<role, content>>: demonstrations in turn, then the query. Demonstrations without text or label are left out."""
-    text = strip(F.coalesce(c, F.lit("")))
+    mark = "Now you try:"
     turn = lambda role, x: F.struct(F.lit(role).alias("role"), x.alias("content"))
-    at = F.instr(text, "Now you try:")
-    demo = strip(F.when(at > 0, F.substring(text, F.lit(1), at - 1)))
-    final = strip(F.when(at > 0, F.substring(text, at + len("Now you try:"), F.length(text))))
-    users = F.transform(F.regexp_extract_all(demo, F.lit(DEMO), F.lit(1)), strip)
-    labels = F.transform(F.regexp_extract_all(demo, F.lit(DEMO), F.lit(2)), strip)
-    both = F.filter(F.arrays_zip(users.alias("u"), labels.alias("a")), lambda z: (z["u"] != "") & (z["a"] != ""))
     ended = lambda u: F.when(u.endswith("Answer:"), u).otherwise(F.concat(u, F.lit("\nAnswer:")))
-    turns = F.flatten(F.transform(both, lambda z: F.array(turn("user", ended(z["u"])), turn("assistant", z["a"]))))
-    last = F.array(turn("user", F.when(final != "", final).otherwise(text)))
-    return F.when(at > 0, F.concat(turns, last)).otherwise(F.array(turn("user", text)))
+
+    def demonstration(d: Column) -> Column:
+        both = F.struct(strip(F.regexp_extract(d, DEMO, 1)).alias("u"), strip(F.regexp_extract(d, DEMO, 2)).alias("a"))
+        return let(both, lambda z: F.when((z["u"] != "") & (z["a"] != ""), F.array(turn("user", ended(z["u"])), turn("assistant", z["a"]))).otherwise(F.array().cast(MESSAGES)))
+
+    def whole(text: Column) -> Column:
+        demos = F.flatten(F.transform(F.regexp_extract_all(strip(F.substring_index(text, mark, 1)), F.lit(DEMO), F.lit(0)), demonstration))
+        final = strip(F.substring(text, F.instr(text, mark) + len(mark), F.length(text)))
+        last = let(final, lambda x: F.when(x != "", x).otherwise(text))
+        return F.when(F.contains(text, F.lit(mark)), F.concat(demos, F.array(turn("user", last)))).otherwise(F.array(turn("user", text)))
+
+    return let(strip(F.coalesce(c, F.lit(""))), whole)
 
 
 def chat_text(system: Column, messages: Column) -> Column:

@@ -22,11 +22,11 @@ def require(df: DataFrame, columns: list[str], what: str) -> DataFrame:
     return df
 
 
-def reshape(source: DataFrame, prompt: str, label: str = "relation", name: Column | None = None, key: str = "example_id", more: list[Column] = ()) -> DataFrame:
+def reshape(source: DataFrame, prompt: str, label: str = "relation", name: Column | None = None, key: str = "example_id") -> DataFrame:
     """(key, prompt, relation, dataset): one prompt column and the label of a source; prompts without demonstrations end in an answer line. Null prompts stay null."""
     require(source, [prompt, label], "source")
     p = T.zero_shot_suffix(F.col(prompt)) if prompt.endswith("0_shot") else F.col(prompt)
-    return source.select(F.col(key), p.alias("prompt"), F.col(label).alias("relation"), (F.col("dataset") if name is None else name).alias("dataset"), *more)
+    return source.select(F.col(key), p.alias("prompt"), F.col(label).alias("relation"), (F.col("dataset") if name is None else name).alias("dataset"))
 
 
 def order_key(seed: int, key: str = "example_id") -> Column:
@@ -39,20 +39,23 @@ def shuffle(df: DataFrame, seed: int, key: str = "example_id") -> DataFrame:
 
 
 def first_n(df: DataFrame, by: list[str], n: Column, seed: int | Column, key: str = "example_id") -> DataFrame:
-    """Of each group the n rows that come first in the seeded order, all of them if it has fewer. n: an expression over by; null keeps all. Groups with a null key are groups of their own."""
+    """Of each group the n rows that come first in the seeded order, all of them if it has fewer.
+
+    n: an expression over the row's group; null keeps all. Groups with a null key are groups of their own. Rows of one key are kept or left
+    out together. Two passes over the keys find each group's last row; the rows themselves are read once, against one row for each group.
+    """
     h = order_key(seed, key) if isinstance(seed, int) else F.md5(F.concat(seed.cast("string"), F.lit(":"), F.col(key).cast("string")))
-    d = df.withColumn("_h", h).withColumn("_slice", F.substring("_h", 1, 4)).withColumn("_n", n)
     names = [f"_by{k}" for k in range(len(by))]
-    d = d.withColumns({x: F.coalesce(F.col(b).cast("string"), F.lit("\x00")) for x, b in zip(names, by)})
-    slices = d.groupBy(*names, "_slice", "_n").agg(F.count("*").alias("k"))
+    d = df.withColumns({x: F.coalesce(F.col(b).cast("string"), F.lit("\x00")) for x, b in zip(names, by)}).withColumn("_order", h)
+    narrow = d.select(*names, "_order", n.cast("long").alias("_n"), F.substring("_order", 1, 4).alias("_slice"))
+    slices = narrow.groupBy(*names, "_slice", "_n").agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy(*names).orderBy("_slice"))  # at most 65,536 rows for each group
     edge = slices.withColumn("upto", upto).where(F.col("upto") > F.col("_n"))
-    edge = edge.groupBy(*names).agg(F.min("_slice").alias("_edge"), F.min_by(F.col("_n") - (F.col("upto") - F.col("k")), "_slice").alias("_left"))
-    d = d.join(F.broadcast(edge), names, "left")  # a row for each group
-    whole = d.where(F.col("_edge").isNull() | (F.col("_slice") < F.col("_edge")))
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy("_h", key))
-    part = d.where(F.col("_slice") == F.col("_edge")).withColumn("_k", rank).where(F.col("_k") <= F.col("_left")).drop("_k")
-    return whole.unionByName(part).select(*df.columns)
+    edge = edge.groupBy(*names).agg(F.min("_slice").alias("_slice"), F.min_by(F.col("_n") - (F.col("upto") - F.col("k")), "_slice").alias("_left"))
+    inside = narrow.drop("_n").join(F.broadcast(edge), [*names, "_slice"])  # a row for each group
+    ranked = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy("_order")))  # of one slice in 65,536
+    last = ranked.groupBy(*names).agg(F.coalesce(F.max(F.when(F.col("_k") <= F.col("_left"), F.col("_order"))), F.min("_slice")).alias("_last"))
+    return d.join(F.broadcast(last), names, "left").where("_last is null or _order <= _last").select(*df.columns)
 
 
 def cap(df: DataFrame, most: int | None, seed: int, by: list[str] = ("dataset",), key: str = "example_id") -> DataFrame:
@@ -82,20 +85,27 @@ def dataset_balanced(df: DataFrame, seed: int, key: str = "example_id", split: s
     return first_n(d, ["dataset", *extra], F.col("_least"), seed, key).drop("_least")
 
 
-def mixture(source: DataFrame, spec: MixSpec, shot: int, known: list[str] = DATASETS) -> DataFrame:
-    """(example_id, prompt, relation, dataset, split, shot) of one mixture for one number of shots, all three splits; split is named like train_2."""
+def mixture(source: DataFrame, spec: MixSpec, shots: int | list[int], known: list[str] = DATASETS) -> DataFrame:
+    """(example_id, prompt, relation, dataset, split, shot) of one mixture, all three splits; split is named like train_2.
+
+    Which rows are in it depends on their ids only, so they are chosen once, whatever the number of shots. Rows of other splits are left out.
+    """
     spec.check(known)
-    rows = source.where(F.col("dataset").isin(spec.general + spec.literary))
+    shots = [shots] if isinstance(shots, int) else shots
+    require(source, ["example_id", "dataset", "split", "relation", *[f"prompt_{s}_shot" for s in shots]], "source")
     name = F.create_map(*[F.lit(x) for a, b in SPLITS.items() for x in (b, a)])[F.col("split")]
-    rows = rows.withColumn("_split", name).where(F.col("_split").isNotNull())
-    d = reshape(rows, f"prompt_{shot}_shot", more=[F.concat(F.col("_split"), F.lit(f"_{shot}")).alias("split")])
+    d = source.where(F.col("dataset").isin(spec.general + spec.literary)).withColumn("split", name).where(F.col("split").isNotNull())
+    d = d.select("example_id", "dataset", "split", "relation", *[f"prompt_{s}_shot" for s in shots])
     if spec.cap is not None:
         d = first_n(d, ["dataset", "split"], F.lit(spec.cap), spec.seed)
     if spec.balance == "domain":
         d = domain_balanced(d, spec.literary, spec.seed, split="split")
     elif spec.balance == "dataset":
         d = dataset_balanced(d, spec.seed, split="split")
-    return d.withColumn("shot", F.lit(shot))
+    prompt = lambda s: T.zero_shot_suffix(F.col("prompt_0_shot")) if s == 0 else F.col(f"prompt_{s}_shot")
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("shot"), prompt(s).alias("prompt")) for s in shots])).alias("x")
+    d = d.select("example_id", "relation", "dataset", "split", each)
+    return d.select("example_id", "x.prompt", "relation", "dataset", F.concat("split", F.lit("_"), F.col("x.shot").cast("string")).alias("split"), "x.shot")
 
 
 def merge_splits(parts: list[DataFrame]) -> DataFrame:

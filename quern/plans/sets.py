@@ -296,8 +296,7 @@ ZERO = strip("prompt_0_shot") + " || chr(10) || 'Answer: '"
 
 @query(f"with d as ({MIX.format(prompt=ZERO, shot=0)} union all {MIX.format(prompt='prompt_2_shot', shot=2)} union all {MIX.format(prompt='prompt_5_shot', shot=5)}), e as (select *, {LIT} as lit from d), n as (select split, least(count(*) filter (lit), count(*) filter (not lit)) as n from e group by split) select e.* exclude (lit) from e join n on e.split = n.split qualify row_number() over (partition by lit, e.split order by case when lit then {HASH('example_id', SEED + 1)} else {HASH('example_id')} end, example_id) <= n.n")
 def set_o15_build_mixture(spark, sf):
-    parts = [X.mixture(source(spark, sf), MIXTURES["mixtune"], shot) for shot in (0, 2, 5)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return X.mixture(source(spark, sf), MIXTURES["mixtune"], [0, 2, 5])
 
 
 @query(f"select example_id from source_example order by {HASH('example_id')}, example_id limit 50")

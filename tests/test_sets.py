@@ -32,7 +32,7 @@ def test_first_n_is_exact_and_stable(spark, n):
 
 
 def test_first_n_of_odd_groups(spark):
-    df = spark.createDataFrame([(k, None if k % 2 else "a", "x") for k in range(20)], "example_id long, dataset string, _h string")
+    df = spark.createDataFrame([(k, None if k % 2 else "a", "x") for k in range(20)], "example_id long, dataset string, h string")
     got = X.cap(df, 3, 1)
     assert got.groupBy("dataset").count().where("count <> 3").count() == 0 and got.count() == 6
     assert X.cap(df, None, 1).count() == 20 and X.cap(df.limit(0), 3, 1).count() == 0

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quern.config import EXAMPLE_COLUMNS, NA_VALUES
 from quern.plans.base import generation, listed, query, read
-from quern.session import shared_folder
+from quern.session import fresh
 from quern.sources import readers as I
 from quern.sources import writers as O
 
@@ -16,7 +14,7 @@ COLS = ", ".join(EXAMPLE_COLUMNS)
 
 
 def folder(spark) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/sources-{uuid.uuid4().hex}"
+    return fresh(spark, "sources")
 
 
 def examples(spark, sf):

@@ -37,12 +37,19 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation.
 
     Written as Parquet rather than with checkpoint(), as it is compressed and columns can be pruned on the way back.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,8 @@ WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space at either end. A run of it is tried from its beginning only, so long runs inside a text cost no more than their length."""
+    return F.regexp_replace(c, f"^{WS}+|(?<!{WS}){WS}++$", "")
 
 
 def first_line(c: Column) -> Column:
@@ -95,7 +96,8 @@ def system_prompt(template: Column, labels: Column) -> Column:
 
 
 MESSAGES = "array<struct<role:string,content:string>>"
-DEMO = r"(?s)(.*?)\r?\nAnswer:\s*(.*?)(?:\r?\n\r?\n|$)"
+# From where the last match ended: what fails there fails at every later place, and need not be tried there.
+DEMO = r"\G(?s)(.*?)\r?\nAnswer:\s*(.*?)(?:\r?\n\r?\n|$)"
 
 
 def let(value: Column, f) -> Column:

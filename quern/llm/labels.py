@@ -37,27 +37,34 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def osa(tokens: list[str], words: list[str]) -> np.ndarray:
-    """d[t, w, i]: optimal string alignment distance of the whole word w and the first i characters of token t."""
+    """d[t, w, i]: optimal string alignment distance of the whole word w and the first i characters of token t. Tokens and words have at most 100 characters."""
     n, m = max(map(len, tokens)), max(map(len, words))
-    code = lambda xs, k: np.array([[ord(c) for c in x.ljust(k, "\0")[:k]] for x in xs], np.int32)
-    t, w, wl = code(tokens, n), code(words, m), np.array([len(x) for x in words])
-    out = np.zeros((len(tokens), len(words), n + 1), np.int16)
-    d = np.zeros((3, len(tokens), len(words), n + 1), np.int16)  # the last rows of the programme, by word characters
-    d[0] = np.arange(n + 1)
-    out[:, wl == 0] = d[0][:, wl == 0]
+    letters = {c: k for k, c in enumerate(sorted({c for x in words for c in x}))}
+    new, kind = len(letters), np.uint8 if len(letters) < 250 else np.uint32
+    code = lambda xs, k, pad: np.array([[letters.get(c, new) for c in x] + [pad] * (k - len(x)) for x in xs], kind)
+    t, w, wl = code(tokens, n, new).T.copy()[:, :, None], code(words, m, new + 1).T.copy(), np.array([len(x) for x in words])
+    out = np.zeros((n + 1, len(tokens), len(words)), np.int8)
+    d = np.zeros((3, n + 1, len(tokens), len(words)), np.int8)  # the last rows of the programme, by word characters; each step works on whole blocks
+    d[0] = np.arange(n + 1, dtype=np.int8)[:, None, None]
+    out[:, :, wl == 0] = d[0][:, :, wl == 0]
+    x = np.empty(d.shape[2:], np.int8)
+    before: list[np.ndarray] = []
     for j in range(1, m + 1):
         a, b, c = d[j % 3], d[(j - 1) % 3], d[(j - 2) % 3]
-        a[:, :, 0] = j
-        wj = w[None, :, j - 1]
+        a[0] = j
+        other = [t[i] != w[j - 1] for i in range(n)]
         for i in range(1, n + 1):
-            x = np.minimum(np.minimum(b[:, :, i], a[:, :, i - 1]) + 1, b[:, :, i - 1] + (t[:, i - 1, None] != wj))
+            np.minimum(b[i], a[i - 1], out=x)
+            x += 1
+            np.minimum(x, b[i - 1] + other[i - 1], out=a[i])
             if i > 1 and j > 1:
-                swap = (t[:, i - 1, None] == w[None, :, j - 2]) & (t[:, i - 2, None] == wj)
-                x = np.where(swap, np.minimum(x, c[:, :, i - 2] + 1), x)
-            a[:, :, i] = x
+                swap = ~(before[i - 1] | other[i - 2])
+                if swap.any():
+                    a[i][swap] = np.minimum(a[i][swap], c[i - 2][swap] + 1)
+        before = other
         at = wl == j
-        out[:, at] = a[:, at]
-    return out
+        out[:, :, at] = a[:, :, at]
+    return out.transpose(1, 2, 0)
 
 
 def slips(word: str) -> int:
@@ -71,7 +78,7 @@ def nearest(found: dict) -> dict:
     return {k: d for k, d in found.items() if d <= least + (least > 0)}
 
 
-@functools.cache
+@functools.lru_cache(100_000)
 def glue_cost(x: str) -> int:
     """Edits that make x a connective, 9 if more than one."""
     if x in GLUE:

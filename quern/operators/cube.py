@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.config import CONFIG, CONSTRAINED, KEYS
+from quern.config import CONSTRAINED, KEYS
 from quern.functions import text as T
 
 

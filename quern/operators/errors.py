@@ -62,15 +62,16 @@ def summary(counts: DataFrame, by: str) -> DataFrame:
 ANALYSED = ["eval_dataset_name", "prompt_0_shot", "relation", "gen_type", "model_id", "tuned_dataset_name", "model_shot", "prompt_shot", "generated_relation"]
 
 
-def analysed(rows: DataFrame, gen_type: str = CONSTRAINED) -> DataFrame:
-    """Distinct rows of the main condition with normalised labels; gold labels of rows with a null dataset are not compared."""
-    d = primary(rows.select(*ANALYSED), gen_type).where(F.col("eval_dataset_name").isNotNull()).distinct()
+def analysed(rows: DataFrame, gen_type: str = CONSTRAINED, prompts: bool = True) -> DataFrame:
+    """Distinct rows of the main condition with normalised labels; rows with a null dataset are left out. Without prompts, these are compared and shuffled as their MD5."""
+    d = primary(rows.select(*ANALYSED), gen_type).where(F.col("eval_dataset_name").isNotNull())
+    d = (d if prompts else d.withColumn("prompt_0_shot", F.md5("prompt_0_shot"))).distinct()
     return d.withColumns({"gold": T.normalize_relation(F.col("relation")), "pred": T.normalize_relation(F.col("generated_relation"))})
 
 
-def wrong(rows: DataFrame) -> DataFrame:
+def wrong(rows: DataFrame, prompts: bool = True) -> DataFrame:
     """The wrong answers among the analysed rows with their category."""
-    d = analysed(rows)
+    d = analysed(rows, prompts=prompts)
     labels = d.where(F.col("relation").isNotNull()).select("eval_dataset_name", F.col("gold").alias("label")).distinct()
     w = in_schema(d.where("gold <> pred"), labels)
     return w.withColumn("error_category", categorise(F.col("gold"), F.col("pred"), F.col("valid"))).drop("valid")
@@ -78,14 +79,14 @@ def wrong(rows: DataFrame) -> DataFrame:
 
 def category_shares(rows: DataFrame) -> DataFrame:
     """How many errors of each dataset are of each category, and their share."""
-    n = wrong(rows).groupBy("eval_dataset_name", "error_category").agg(F.count("*").alias("n"))
+    n = wrong(rows, prompts=False).groupBy("eval_dataset_name", "error_category").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("eval_dataset_name"))  # at most one row for each category
     return n.withColumn("share", F.round(F.col("n") / total, 4))
 
 
 def error_rates(rows: DataFrame) -> DataFrame:
     """Errors of each configuration among the analysed rows."""
-    d = analysed(rows).dropna(subset=["model_id", "tuned_dataset_name", "model_shot"])
+    d = analysed(rows, prompts=False).dropna(subset=["model_id", "tuned_dataset_name", "model_shot"])
     hit = F.sum((F.col("gold") == F.col("pred")).cast("long"))
     d = d.groupBy("eval_dataset_name", "model_id", "tuned_dataset_name", "model_shot").agg(F.count("*").alias("total"), hit.alias("correct"))
     return d.withColumn("error_rate", F.round(1 - F.col("correct") / F.col("total"), 4))

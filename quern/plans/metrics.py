@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.config import CONSTRAINED, DATASETS, KEYS, NEGATIVES, PARAMS, PRICES, SCALE
+from quern.config import KEYS, NEGATIVES, PARAMS, PRICES, REGIMES, SCALE
 from quern.operators import cube as C
 from quern.operators import errors as E
 from quern.operators import metrics as M
-from quern.plans.base import CUBE, DEDUP, DOMAIN, HASHED, K, METRICS, NOT_NULL, PRIM, PRIMARY, REGIME, SAME, SIZES, class_sql, div, generation, label_sql, line, listed, metrics_sql, micro_sql, normal, normals, query, read, strip
+from quern.plans.base import CUBE, DEDUP, HASHED, K, METRICS, NOT_NULL, PRIM, PRIMARY, REGIME, SAME, SENT, SIZES, class_sql, generation, label_sql, line, listed, metrics_sql, micro_sql, normal, normals, query, read, strip
 from quern.functions import text as T
 
 W = "with "
@@ -140,7 +140,7 @@ WRONG = f"{ANALYSED}, al as (select distinct eval_dataset_name, gold as lab from
 
 @query(f"{W}{WRONG} select eval_dataset_name, gold, pred, error_category, count(*) as n from wr_ group by all")
 def err_c02_categorise_error(spark, sf):
-    return E.wrong(generation(spark, sf)).groupBy("eval_dataset_name", "gold", "pred", "error_category").agg(F.count("*").alias("n"))
+    return E.wrong(generation(spark, sf), prompts=False).groupBy("eval_dataset_name", "gold", "pred", "error_category").agg(F.count("*").alias("n"))
 
 
 @query(f"{W}{ANALYSED} select eval_dataset_name, model_id, tuned_dataset_name, model_shot, count(*) as total, count(*) filter (gold = pred) as correct, round(1 - correct / total::double, 4) as error_rate from an_ where model_id is not null and tuned_dataset_name is not null group by all")
@@ -158,7 +158,16 @@ def tab_r17_error_examples(spark, sf):
     return E.examples(generation(spark, sf))
 
 
-@query()
+RIGHT = lambda cond: f"array_to_string(list_sort(list({REGIME}) filter ({cond})), ', ')"
+SAID = ", ".join(f"max(case when tuned_dataset_name = '{r}' then said end) as pred_{n}" for r, n in REGIMES.items())
+DISAGREE = (
+    f"{W}{ANALYSED}, b as (select eval_dataset_name, left(prompt_0_shot, 100) as opening, relation, tuned_dataset_name, bool_or(gold = pred) as ok, arg_min_null(generated_relation, (model_id, model_shot, coalesce(generated_relation, ''))) as said, min(prompt_0_shot) as pr from an_ where relation is not null and prompt_0_shot is not null and tuned_dataset_name is not null group by all), "
+    f"x as (select eval_dataset_name, opening, relation, {RIGHT('ok')} as correct_regimes, {RIGHT('not ok')} as wrong_regimes, min(pr) as p, {SAID} from b group by eval_dataset_name, opening, relation having bool_or(ok) and bool_or(not ok)) "
+    f"select eval_dataset_name as dataset, left({SENT}, 300) as text_snippet, relation as gold_relation, correct_regimes, wrong_regimes, {', '.join(f'pred_{n}' for n in REGIMES.values())} from x qualify row_number() over (partition by eval_dataset_name order by opening, relation) <= 50"
+)
+
+
+@query(DISAGREE)
 def tab_r18_regime_disagreements(spark, sf):
     return E.disagreements(generation(spark, sf))
 
@@ -236,5 +245,3 @@ def _variant(v):
 
 for _v in NEGATIVES:
     _variant(_v)
-
-__all__ = ["CONSTRAINED", "DATASETS", "DOMAIN", "div", "evaluated"]

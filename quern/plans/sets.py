@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.config import DATASETS, EXAMPLE_COLUMNS, GENERAL, KEYS, LITERARY, MIXTURES, NEGATIVES, GROUPS, MODELS, REGIMES, SHOTS, Comparison  # noqa: F401
+from quern.config import DATASETS, EXAMPLE_COLUMNS, GROUPS, LITERARY, MIXTURES, MODELS, NEGATIVES, REGIMES, SHOTS
 from quern.functions import text as T
 from quern.operators import merging as G
 from quern.operators import mixing as X
 from quern.operators import tokens as N
 from quern.operators.cube import drop_duplicates
-from quern.plans.base import DS, generation, line, listed, normal, query, read, strip
+from quern.plans.base import DS, SENT, generation, line, listed, normal, query, read, strip
 
 B = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 ANSWER = lambda x: strip(f"regexp_replace({x}, '(?i)^answer\\s*:\\s*', '')")
@@ -140,13 +140,25 @@ def text_t08_build_system_prompt(spark, sf):
     return d.select("dataset", T.system_prompt(F.lit(TEMPLATE), F.col("labels")).alias("system"))
 
 
-@query()
+DEMO = "(?s)(.*?)\\r?\\nAnswer:\\s*(.*?)(?:\\r?\\n\\r?\\n|$)"
+TRY = "'Now you try:'"
+MSG = lambda role, x: f"{{'role': '{role}', 'content': {x}}}"
+GROUP = lambda i: f"list_transform(regexp_extract_all(demo, '{DEMO}', {i}), lambda x: {strip('x')})"
+UNRAVEL = (
+    f"with p as (select example_id, {strip('coalesce(prompt_2_shot, ' + chr(39) * 2 + ')')} as t from source_example), "
+    f"d as (select example_id, t, contains(t, {TRY}) as few, {strip(f'split_part(t, {TRY}, 1)')} as demo, {strip(f'substr(t, instr(t, {TRY}) + 12)')} as fin from p), "
+    f"z as (select *, list_filter(list_zip({GROUP(1)}, {GROUP(2)}), lambda s: s[1] <> '' and s[2] <> '') as zs from d), "
+    f"m as (select example_id, case when few then flatten(list_transform(zs, lambda s: [{MSG('user', 'case when ends_with(s[1], ' + chr(39) + 'Answer:' + chr(39) + ') then s[1] else s[1] || chr(10) || ' + chr(39) + 'Answer:' + chr(39) + ' end')}, {MSG('assistant', 's[2]')}])) || [{MSG('user', 'case when fin <> ' + chr(39) * 2 + ' then fin else t end')}] else [{MSG('user', 't')}] end as ms from z)"
+)
+
+
+@query(f"{UNRAVEL} select example_id, (i - 1)::int as turn, ms[i].role as role, ms[i].content as content from (select example_id, ms, unnest(range(1, len(ms) + 1)) as i from m)")
 def text_t09_unravel_fewshot(spark, sf):
     m = F.posexplode(T.unravel(F.col("prompt_2_shot"))).alias("turn", "m")
     return source(spark, sf).select("example_id", m).select("example_id", "turn", "m.role", "m.content")
 
 
-@query()
+@query(f"{UNRAVEL} select example_id, 'Name the relation.' || chr(10) || chr(10) || array_to_string(list_transform(ms, lambda x: x.content), chr(10) || chr(10)) || chr(10) as chat from m")
 def text_t10_build_chat_text(spark, sf):
     return source(spark, sf).select("example_id", T.chat_text(F.lit("Name the relation."), T.unravel(F.col("prompt_2_shot"))).alias("chat"))
 
@@ -162,8 +174,6 @@ def text_t12_mark_entities(spark, sf):
     return source(spark, sf).select("example_id", T.mark_entities(*[F.col(c) for c in ("text", "entity1", "entity2", "entity1type", "entity2type")]).alias("marked"))
 
 
-SENT = f"case when regexp_matches(p, 'Sentence:\\s*\"[^\"]+\"') then {strip('regexp_extract(p, ' + chr(39) + 'Sentence:' + chr(92) + 's*' + chr(34) + '([^' + chr(34) + ']+)' + chr(34) + chr(39) + ', 1)')} when regexp_matches(p, '\"[^\"]{{20,}}\"') then {strip('regexp_extract(p, ' + chr(39) + chr(34) + '([^' + chr(34) + ']{20,})' + chr(34) + chr(39) + ', 1)')} else coalesce(left(list_filter(list_transform(string_split({strip('p')}, chr(10)), lambda x: {strip('x')}), lambda x: length(x) > 30 and not starts_with(x, 'You are') and not starts_with(x, 'Extract'))[1], 200), left(p, 200)) end"
-
 
 @query(f"select example_id, {SENT} as sentence from (select example_id, prompt_0_shot as p from source_example)")
 def text_t13_extract_sentence(spark, sf):

@@ -8,7 +8,7 @@ from quern.config import ANOMALIES, CROSS, FAMILY, FAMILY_PAIRS, GENERAL, KEYS,
 from quern.operators import cube as C
 from quern.operators import metrics as M
 from quern.operators import tables as R
-from quern.plans.base import DOMAIN, DS, IN_GEN, IN_LIT, METRICS, PRIM, REGIME, generation, is_config, listed, metrics_sql, query, read
+from quern.plans.base import DOMAIN, DS, IN_GEN, IN_LIT, METRICS, PRIM, REGIME, is_config, listed, metrics_sql, query, read
 from quern.plans.metrics import case, evaluated
 
 W = f"with {METRICS}, {PRIM}"

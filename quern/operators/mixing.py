@@ -69,20 +69,21 @@ def sizes(df: DataFrame, by: list[str]) -> DataFrame:
 
 def domain_balanced(df: DataFrame, literary: list[str], seed: int, key: str = "example_id", split: str | None = None) -> DataFrame:
     """As many rows of either domain as the smaller one has, of each split by itself."""
-    extra = [split] if split else []
-    d = df.withColumn("_domain", F.col("dataset").isin(literary))
+    extra = [split or "_all"]
+    d = df.withColumn("_domain", F.col("dataset").isin(literary)).withColumn(extra[0], F.col(split) if split else F.lit(1))
     least = sizes(d, ["_domain", *extra]).groupBy(*extra).agg(F.when(F.count("*") == 2, F.min("size")).otherwise(0).alias("_least"))
-    d = d.join(F.broadcast(least), extra) if extra else d.crossJoin(F.broadcast(least))  # a row for each split
+    d = d.join(F.broadcast(least), extra)  # a row for each split
     seeds = F.when(F.col("_domain"), F.lit(seed + 1)).otherwise(F.lit(seed))
-    return first_n(d, ["_domain", *extra], F.col("_least"), seeds, key).drop("_domain", "_least")
+    return first_n(d, ["_domain", *extra], F.col("_least"), seeds, key).select(*df.columns)
 
 
 def dataset_balanced(df: DataFrame, seed: int, key: str = "example_id", split: str | None = None) -> DataFrame:
     """As many rows of each source as the smallest one has, of each split by itself."""
-    extra = [split] if split else []
-    least = sizes(df, ["dataset", *extra]).groupBy(*extra).agg(F.min("size").alias("_least"))
-    d = df.join(F.broadcast(least), extra) if extra else df.crossJoin(F.broadcast(least))  # a row for each split
-    return first_n(d, ["dataset", *extra], F.col("_least"), seed, key).drop("_least")
+    extra = [split or "_all"]
+    d = df.withColumn(extra[0], F.col(split) if split else F.lit(1))
+    least = sizes(d, ["dataset", *extra]).groupBy(*extra).agg(F.min("size").alias("_least"))
+    d = d.join(F.broadcast(least), extra)  # a row for each split
+    return first_n(d, ["dataset", *extra], F.col("_least"), seed, key).select(*df.columns)
 
 
 def mixture(source: DataFrame, spec: MixSpec, shots: int | list[int], known: list[str] = DATASETS) -> DataFrame:

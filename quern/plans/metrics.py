@@ -218,10 +218,10 @@ def agg_a29_cost_estimate(spark, sf):
     n = g.groupBy("eval_dataset_name").agg(F.count("*").alias("n"))
     first = g.withColumn("k", F.row_number().over(Window.partitionBy("eval_dataset_name").orderBy("gen_id"))).where("k <= 100")
     t = first.groupBy("eval_dataset_name").agg((F.avg("l0") / 4).alias("t0"), (F.avg("l2") / 4).alias("t2")).join(n, "eval_dataset_name")
-    prices = spark.createDataFrame([(k, a, b) for k, (a, b) in PRICES.items()], "model string, price_in double, price_out double")
+    prices = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(a).alias("price_in"), F.lit(b).alias("price_out")) for k, (a, b) in PRICES.items()])).alias("p")
     inp = F.sum((F.col("t0") + 100 + F.col("t2") + 100) * F.col("n"))
     out = F.sum(20 * F.col("n"))
-    d = t.crossJoin(F.broadcast(prices))  # a few rows each: datasets by models
+    d = t.select("*", prices).select("*", "p.*")
     return d.groupBy("model").agg(F.round(inp, 0).alias("input_tokens"), out.alias("output_tokens"), F.round(inp / 1e6 * F.max("price_in") + out / 1e6 * F.max("price_out"), 4).alias("cost"))
 
 

@@ -55,7 +55,7 @@ OBJECTS = [" this", " this pair", " the relation", " the relation between the tw
 TAILS = ["", ".", "!", ". Please provide more context.", ". Please share more text."]
 BROKEN = ["The relation between {a} and {b} is", "{a} and {b} are described as the", "The label that fits best here would be", "The label that fits best here would be a", "Based on the sentence, the two mentions are connected by the", "In this passage, {a} appears to be the", "The passage says that {a}", "According to the text, {b} was", "Looking at the text, {s}", "It seems that {s}", "The answer follows from the passage, since {s}", "From the sentence we can see that {s}", "The two mentions share a"]
 PLAIN = ["old chess partners", "next door neighbours", "blood brothers", "mistaken twin", "unable to forgive", "feels sorry about", "cannot stand", "sorry for", "refuses to visit", "declines invitations from", "unable to trust", "apologises to", "knows nothing about", "can't forget", "unsure about", "former classmates", "shares a boat with", "distant cousins", "never met", "lost friends", "not sorry about", "will not dance with", "admires from afar", "business rivals", "childhood friends", "is unable to beat", "cannot live without", "has no time for"]
-WRAPS = ["{x}", "{x}", "{x}", "{x}", "Answer: {x}", "answer : {x}", "The relation is {x}.", "I think it is {x}", "{x} (likely)", "{x} (high confidence)", "{{\"relation\": \"{x}\"}}", "**{x}**", "`{x}`", "- {x}", "\"{x}\"", "{x}\n", "  {x} ", "<think>\nshort check\n</think>\n\n{x}", "{x}\nExplanation: {s}", "{x}, {x}", "{x} / {x} / {x}", "{x}\n{x}", "{x}.", "Label: {x}", "The best label here is {x}.", "It must be {x}, given the text."]
+WRAPS = ["{x}", "{x}", "{x}", "{x}", "{x} / {x} / {x} / {x} / {x} / {x} / {x} / {x}", "{x}\n{x}\n{x}\n{x}\n{x}\n{x}", "{x}, {x}, {x}, {x}, {x}, {x}, {x}", "Answer: {x}", "answer : {x}", "The relation is {x}.", "I think it is {x}", "{x} (likely)", "{x} (high confidence)", "{{\"relation\": \"{x}\"}}", "**{x}**", "`{x}`", "- {x}", "\"{x}\"", "{x}\n", "  {x} ", "<think>\nshort check\n</think>\n\n{x}", "{x}\nExplanation: {s}", "{x}, {x}", "{x} / {x} / {x}", "{x}\n{x}", "{x}.", "Label: {x}", "The best label here is {x}.", "It must be {x}, given the text."]
 
 
 class Prompt:
@@ -94,8 +94,26 @@ class Extractor:
             for n in range(2, len(w) - 2):  # a cut drops at least three letters
                 self.stems[w[:n]] = True
         self.pieces = {w[i : i + 4] for w in self.words for i in range(len(w) - 3)}
+        self.with_bigram: dict[str, list[str]] = {}
+        for w in self.words:
+            for b in {w[i : i + 2] for i in range(len(w) - 1)}:
+                self.with_bigram.setdefault(b, []).append(w)
+        self.near: dict[str, float] = {}
         self.prompts: dict[str, tuple] = {}
 
+    def nearness(self, token: str) -> float:
+        """Largest Dice similarity of the token's bigrams and those of a label word."""
+        if (x := self.near.get(token)) is None:
+            if len(self.near) > 100_000:
+                self.near.clear()
+            own = {token[i : i + 2] for i in range(len(token) - 1)}
+            shared: dict[str, int] = {}
+            for b in own:
+                for w in self.with_bigram.get(b, ()):
+                    shared[w] = shared.get(w, 0) + 1
+            x = self.near[token] = max((2 * n / (len(own) + len(w) - 1) for w, n in shared.items()), default=0.0)
+        return x
+
     def cut_label(self, ws: list[str]) -> bool:
         """Whether the response is label words of which the last breaks off."""
         last, rest = ws[-1], ws[:-1]
@@ -155,6 +173,9 @@ class Extractor:
             d[35] = like
             d[36] = float(like > 0.25)
             d[37] = float(like > 0.5)
+            near = [self.nearness(w) for w in split if len(w) > 3 and w not in BETWEEN]
+            d[38] = sum(near) / len(near) if near else 0.0
+            d[39] = 2.0 * (d[38] > 0.55)
         if masked and n <= masked + 4:
             d[17] = 1.0
         if "'" in core or "’" in core:
@@ -274,14 +295,14 @@ def pick_gap(rng: np.random.Generator) -> str:
 def respell(x: str, rng: np.random.Generator) -> str:
     ws = [w.lower() for w in TOKEN.findall(CAMEL.sub(" ", x.replace("_", " ")))]
     content = [w for w in ws if w not in BETWEEN and w not in ("fig", "grp", "kin", "civic", "trade")]
-    k = rng.integers(12)
+    k = rng.integers(14)
     if len(content) == 2:
         a, b = content
-        x = [x, x, x, f"{a} of the {b}", f"{b} {a}", f"{b}'s {a}", f"{a}Of{b.title()}", f"is the {a} of this {b}", f"{a} ({b})", f"{b}s {a}s", f"{b}/{a}", f"{a.title()} At An {b.title()}"][k]
+        x = [x, x, x, f"is the {a} of this {b}", f"{a} {['for', 'at', 'in'][int(rng.integers(3))]} the {b}", f"{a} of the {b}", f"{b} {a}", f"{b}'s {a}", f"{a}Of{b.title()}", f"is the {a} of this {b}", f"{a} ({b})", f"{b}s {a}s", f"{b}/{a}", f"{a.title()} At An {b.title()}"][k]
     for _ in range(int(rng.integers(4)) if rng.random() < 0.5 else 0):
         x = slip(x, rng)
     x = x.replace(" ", pick_gap(rng)) if rng.random() < 0.25 else x
-    return x.upper() if rng.random() < 0.1 else x.title() if rng.random() < 0.1 else x
+    return x.upper() if rng.random() < 0.15 else x.title() if rng.random() < 0.15 else x
 
 
 def synthetic(prompts: list[str], labels: list[str], foreign: list[str], rng: np.random.Generator) -> list[tuple[str, str, str]]:
@@ -289,6 +310,7 @@ def synthetic(prompts: list[str], labels: list[str], foreign: list[str], rng: np
     out: list[tuple[str, str, str]] = []
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     parsed = [Prompt(p) for p in prompts]
+    single = [x for x in labels if len([w for w in TOKEN.findall(CAMEL.sub(" ", x.replace("_", " ")).lower()) if w not in BETWEEN]) == 1 or "relation" in x.lower()] or labels
     for p in parsed:
         other, third = pick(parsed), pick(parsed)
         a, b = (p.mentions + ["the first", "the second"])[:2]
@@ -297,8 +319,8 @@ def synthetic(prompts: list[str], labels: list[str], foreign: list[str], rng: np
         low = o[0].lower() + o[1:]
         add = lambda x, d="", p=p: out.append((p.text, x, d))
         full = o if o.rstrip(QUOTES)[-1:] in END else o + "."
-        for _ in range(5):
-            add(pick(WRAPS).format(x=respell(pick(labels), rng), s=full))
+        for _ in range(8):
+            add(pick(WRAPS).format(x=respell(pick(single if rng.random() < 0.12 else labels), rng), s=full))
         add(respell(pick(PLAIN), rng) if rng.random() < 0.3 else pick(PLAIN))
         ws = [w for w in TOKEN.findall(third.sentence.lower()) if len(w) > 3]
         if len(ws) > 4:
@@ -319,7 +341,7 @@ def synthetic(prompts: list[str], labels: list[str], foreign: list[str], rng: np
         if len(word) >= 5:
             cut = x[: len(x) - int(rng.integers(3, max(4, len(word) - 1)))]
             cut = cut if re.search(r"[^\W_]{2}\Z", cut) else x[:-3]
-            add(pick(["{x}", "{x}", "{x}", "Answer: {x}"]).format(x=cut.upper() if rng.random() < 0.1 else cut), "truncated")
+            add(pick(["{x}"] * 8 + ["Answer: {x}"]).format(x=cut.upper() if rng.random() < 0.1 else cut), "truncated")
         cut_at = lambda t: t[: int(rng.integers(max(1, len(t) // 8), max(2, len(t) - 8)))].rstrip(".!?,; ") if len(t) > 20 else t[:10]
         x = pick(BROKEN).format(a=a, b=b, s=cut_at(low))
         add(x if rng.random() < 0.6 or len(x) < 40 else x[: int(rng.integers(25, len(x)))].rstrip(), "truncated")

@@ -245,7 +245,7 @@ class Vocabulary:
         return False
 
     def cut_off(self, tokens: list[str], partner: dict, pairs: dict) -> int:
-        """An entry whose last word breaks off: known first word, then the opening letters of exactly one partner."""
+        """An entry whose last word breaks off: a known word, then the opening letters of one of its partners."""
         last = tokens[-1]
         firsts: list[tuple[str, str]] = [(a, r) for a, r, _ in self.kept[last][2]]
         for k in range(len(tokens) - 2, max(-1, len(tokens) - 6), -1):

@@ -104,7 +104,7 @@ class Extractor:
     def nearness(self, token: str) -> float:
         """Largest Dice similarity of the token's bigrams and those of a label word."""
         if (x := self.near.get(token)) is None:
-            if len(self.near) > 100_000:
+            if len(self.near) > 50_000:
                 self.near.clear()
             own = {token[i : i + 2] for i in range(len(token) - 1)}
             shared: dict[str, int] = {}
@@ -128,7 +128,7 @@ class Extractor:
 
     def parts(self, prompt: str) -> tuple:
         if (x := self.prompts.get(prompt)) is None:
-            if len(self.prompts) > 2000:
+            if len(self.prompts) > 300:
                 self.prompts.clear()
             p = Prompt(prompt)
             s, q, t = (TOKEN.findall(y.lower()) for y in (p.sentence, p.question, p.text))
@@ -227,7 +227,7 @@ class Extractor:
         idx = np.r_[h, np.fromiter(d, np.int64, len(d)) + WIDTH]
         val = np.r_[np.full(len(h), 1.5 / math.sqrt(max(1, len(h)))), np.fromiter(d.values(), float, len(d))]
         if key is not None:
-            if len(kept) > 50_000:
+            if len(kept) > 20_000:
                 kept.clear()
             kept[key] = (idx, val)
         return idx, val
@@ -448,7 +448,7 @@ def first_by_hash(df: DataFrame, key: str, value: str, n: int) -> list[str]:
     Only rows below a cut that about 4 n of them pass are compared, so what the tasks send to the driver doesn't grow with their number.
     """
     d, h = df.where(F.col(value).isNotNull()), F.xxhash64(key)
-    share = min(1.0, (4 * n + 100) / max(1, d.count()))
+    share = min(1.0, (4 * n + 100) / max(1, df.count()))  # all rows are counted, which reads no column
     d = d.where(h <= int(share * 2**64) - 2**63 - 1) if share < 1 else d
     rows = d.orderBy(h, key).select(value).limit(n).collect()
     return sorted({r[0] for r in rows if r[0].strip()})

@@ -157,6 +157,13 @@ class Reader(dict):
         return min(paths.values())[2]
 
 
+@functools.lru_cache(2)
+def reader_of(counts: bytes) -> Reader:
+    """The worker's reader for these counts: what it has read serves its later tasks too."""
+    n = len(LETTERS) + 1
+    return Reader(np.frombuffer(counts).reshape(n, n))
+
+
 def form(text: str, reader: Reader) -> str:
     parts = TOKEN.split(plain(text))
     parts[1::2] = map(reader.__getitem__, parts[1::2])
@@ -168,10 +175,10 @@ def forms(docs: DataFrame, keep_text: bool = True) -> DataFrame:
 
     A null text has a null form, an empty one an empty form; repeated rows get the same form; further columns are not carried.
     """
-    counts = bigrams(docs)
+    counts = bigrams(docs).tobytes()
 
     def read_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(counts)
+        reader = reader_of(counts)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             made = [None if t is None else form(t, reader) for t in texts]

@@ -291,6 +291,12 @@ class Vocabulary:
         return ids[0] if len(ids) == 1 else -1
 
 
+@functools.lru_cache(4)
+def vocabulary(entries: tuple) -> Vocabulary:
+    """The worker's vocabulary of these entries: the tokens it has repaired serve its later tasks too."""
+    return Vocabulary(list(entries))
+
+
 def fold(x: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", x).lower().split())
 
@@ -312,13 +318,13 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     listed = entries.select("label_id", "dataset", "label", "display_name").where("label is not null and dataset is not null").limit(MAX_ENTRIES + 1).collect()
     if len(listed) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    rows = [tuple(r) for r in listed]
+    rows = tuple(sorted((tuple(r) for r in listed), key=str))
     labels = defaultdict(set)
     for _, dataset, label, _ in rows:
         labels[dataset].add(label)
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc = Vocabulary(rows) if rows else None
+        voc = vocabulary(rows) if rows else None
         for pdf in batches:
             pdf = pdf[[v not in labels.get(d, ()) for d, v in zip(pdf["dataset"], pdf["value"])]]
             keys = list(dict.fromkeys(zip(pdf["dataset"], pdf["value"])))

@@ -67,22 +67,26 @@ def sizes(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("size"))
 
 
+def with_least(df: DataFrame, sizes_of: DataFrame, least: Column, split: str | None) -> DataFrame:
+    """df with _least: the size that each group may have, of each split by itself or, without splits, one number for all."""
+    if split:
+        return df.join(F.broadcast(sizes_of.groupBy(split).agg(least.alias("_least"))), split)  # a row for each split
+    return df.withColumn("_least", F.lit(sizes_of.agg(least).first()[0] or 0))
+
+
 def domain_balanced(df: DataFrame, literary: list[str], seed: int, key: str = "example_id", split: str | None = None) -> DataFrame:
     """As many rows of either domain as the smaller one has, of each split by itself."""
-    extra = [split or "_all"]
-    d = df.withColumn("_domain", F.col("dataset").isin(literary)).withColumn(extra[0], F.col(split) if split else F.lit(1))
-    least = sizes(d, ["_domain", *extra]).groupBy(*extra).agg(F.when(F.count("*") == 2, F.min("size")).otherwise(0).alias("_least"))
-    d = d.join(F.broadcast(least), extra)  # a row for each split
+    extra = [split] if split else []
+    d = df.withColumn("_domain", F.col("dataset").isin(literary))
+    d = with_least(d, sizes(d, ["_domain", *extra]), F.when(F.count("*") == 2, F.min("size")).otherwise(0), split)
     seeds = F.when(F.col("_domain"), F.lit(seed + 1)).otherwise(F.lit(seed))
     return first_n(d, ["_domain", *extra], F.col("_least"), seeds, key).select(*df.columns)
 
 
 def dataset_balanced(df: DataFrame, seed: int, key: str = "example_id", split: str | None = None) -> DataFrame:
     """As many rows of each source as the smallest one has, of each split by itself."""
-    extra = [split or "_all"]
-    d = df.withColumn(extra[0], F.col(split) if split else F.lit(1))
-    least = sizes(d, ["dataset", *extra]).groupBy(*extra).agg(F.min("size").alias("_least"))
-    d = d.join(F.broadcast(least), extra)  # a row for each split
+    extra = [split] if split else []
+    d = with_least(df, sizes(df, ["dataset", *extra]), F.min("size"), split)
     return first_n(d, ["dataset", *extra], F.col("_least"), seed, key).select(*df.columns)
 
 

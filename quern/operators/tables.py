@@ -258,5 +258,6 @@ def dashboard(metrics: DataFrame) -> DataFrame:
     m = results_matrix(metrics).agg(F.to_json(F.sort_array(F.collect_list(F.struct("config", *DATASETS, "general_avg", "literary_avg", "overall_avg")))).alias("matrix"))
     p = prompt_delta(metrics).agg(F.to_json(F.sort_array(F.collect_list(F.struct("base_model", "tuning_regime", "delta_overall_avg_f1")))).alias("deltas"))
     o = open_minus_constrained(metrics).agg(F.to_json(F.sort_array(F.collect_list(F.struct("level", "name", "mean_pp", "n")))).alias("conditions"))
-    one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731  each side is a single row
-    return one(m).join(one(p), "k").join(one(o), "k").drop("k")
+    part = lambda df, name: df.select(F.lit(name).alias("part"), F.col(name).alias("json"))
+    rows = part(m, "matrix").unionAll(part(p, "deltas")).unionAll(part(o, "conditions"))  # three rows
+    return rows.agg(*[F.max(F.when(F.col("part") == n, F.col("json"))).alias(n) for n in ("matrix", "deltas", "conditions")])

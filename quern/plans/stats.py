@@ -72,7 +72,7 @@ def stat_b10_key_comparisons(spark, sf):
     return t.select("comparison", F.round((F.col("n10") - F.col("n01")) / n, 6).alias("delta_f1"), F.round((F.col("n11") + F.col("n10")) / n, 4).alias("f1_a"), F.round((F.col("n11") + F.col("n01")) / n, 4).alias("f1_b"))
 
 
-@query("select x as p, case when x < 0.001 then '***' when x < 0.01 then '**' when x < 0.05 then '*' else 'n.s.' end as stars from (values (0.0), (0.0005), (0.001), (0.005), (0.01), (0.03), (0.05), (0.5), (1.0)) v(x)")
+@query("select x::double as p, case when x < 0.001 then '***' when x < 0.01 then '**' when x < 0.05 then '*' else 'n.s.' end as stars from (values (0.0), (0.0005), (0.001), (0.005), (0.01), (0.03), (0.05), (0.5), (1.0)) v(x)")
 def stat_b11_significance_stars(spark, sf):
     d = spark.createDataFrame([(x,) for x in (0.0, 0.0005, 0.001, 0.005, 0.01, 0.03, 0.05, 0.5, 1.0)], "p double")
     return d.select("p", S.stars_of(F.col("p")).alias("stars"))

@@ -29,9 +29,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool
 
 def best_flags(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """The table with best_<column>: whether a value is the column's largest."""
-    most = matrix.agg(*[F.max(c).alias(f"_max_{c}") for c in columns]).withColumn("_one", F.lit(1))
-    d = matrix.withColumn("_one", F.lit(1)).join(F.broadcast(most), "_one")  # a single row
-    return d.withColumns({f"best_{c}": F.coalesce(F.col(c) == F.col(f"_max_{c}"), F.lit(False)) for c in columns}).drop("_one", *[f"_max_{c}" for c in columns])
+    most = matrix.agg(*[F.max(c).alias(c) for c in columns]).first()  # one row
+    return matrix.withColumns({f"best_{c}": F.coalesce(F.col(c) == F.lit(most[c]), F.lit(False)) for c in columns})
 
 
 def latex_cell(value: Column, best: Column, digits: int = 3) -> Column:

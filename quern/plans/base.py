@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.config import ANOMALIES, CONSTRAINED, DATASETS, GENERAL, KEYS, LITERARY, NEGATIVES, REGIMES, REPORTED_ZERO
+from quern.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +33,11 @@ def generation(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "generation")
 
 
+def busy(spark: SparkSession, sf: str, table: str = "generation") -> DataFrame:
+    """A table whose rows are worked on by costly expressions before the first shuffle."""
+    return spread(read(spark, sf, table))
+
+
 def listed(xs) -> str:
     return ", ".join("'" + str(x).replace("'", "''") + "'" for x in xs)
 

@@ -8,7 +8,7 @@ from quern.config import KEYS, NEGATIVES, PARAMS, PRICES, REGIMES, SCALE
 from quern.operators import cube as C
 from quern.operators import errors as E
 from quern.operators import metrics as M
-from quern.plans.base import CUBE, DEDUP, HASHED, K, METRICS, NOT_NULL, PRIM, PRIMARY, REGIME, SAME, SENT, SIZES, class_sql, generation, label_sql, line, listed, metrics_sql, micro_sql, normal, normals, query, read, strip
+from quern.plans.base import CUBE, DEDUP, HASHED, K, METRICS, NOT_NULL, PRIM, PRIMARY, REGIME, SAME, SENT, SIZES, busy, class_sql, generation, label_sql, line, listed, metrics_sql, micro_sql, normal, normals, query, read, strip
 from quern.functions import text as T
 
 W = "with "
@@ -22,27 +22,27 @@ def r6(*cols):
 
 def evaluated(spark, sf):
     """Metrics of every configuration and dataset, rows merged twice taken out."""
-    return M.evaluate(C.deduplicated(generation(spark, sf)))
+    return M.evaluate(C.deduplicated(busy(spark, sf)))
 
 
 @query(f"{BASE}, {label_sql()} select * from lab_")
 def agg_a01_confusion_counts(spark, sf):
-    return M.by_label(C.cube(generation(spark, sf)))
+    return M.by_label(C.cube(busy(spark, sf)))
 
 
 @query(f"{BASE}, {micro_sql()} select {K}, {ROUND(['micro_precision', 'micro_recall', 'micro_f1', 'accuracy'])}, support from micro_")
 def agg_a02_micro_metrics(spark, sf):
-    return M.micro(C.cube(generation(spark, sf))).select(*KEYS, *r6("micro_precision", "micro_recall", "micro_f1", "accuracy"), "support")
+    return M.micro(C.cube(busy(spark, sf))).select(*KEYS, *r6("micro_precision", "micro_recall", "micro_f1", "accuracy"), "support")
 
 
 @query(f"{BASE}, {micro_sql([])} select {K}, {ROUND(['micro_precision', 'micro_recall', 'micro_f1', 'accuracy'])}, support from micro_")
 def agg_a02_micro_all_classes(spark, sf):
-    return M.micro(C.cube(generation(spark, sf)), []).select(*KEYS, *r6("micro_precision", "micro_recall", "micro_f1", "accuracy"), "support")
+    return M.micro(C.cube(busy(spark, sf)), []).select(*KEYS, *r6("micro_precision", "micro_recall", "micro_f1", "accuracy"), "support")
 
 
 @query(f"{BASE}, {label_sql()}, {class_sql()}, m as (select {K}, avg(precision_) as p, avg(recall_) as r, avg(f1) as f from class_ group by all), k as (select distinct {K} from cube_) select {K}, coalesce(round(p, 6), 0.0) as macro_precision, coalesce(round(r, 6), 0.0) as macro_recall, coalesce(round(f, 6), 0.0) as macro_f1 from k left join m using ({K})")
 def agg_a03_macro_metrics(spark, sf):
-    return M.macro(C.cube(generation(spark, sf))).select(*KEYS, *r6("macro_precision", "macro_recall", "macro_f1"))
+    return M.macro(C.cube(busy(spark, sf))).select(*KEYS, *r6("macro_precision", "macro_recall", "macro_f1"))
 
 
 @query(f"{W}{DEDUP}, {normals('dedup_')}, {CUBE}, {label_sql()}, {class_sql()} select {K}, label, round(precision_, 6) as precision, round(recall_, 6) as recall, round(f1, 6) as f1, support from class_ where {PRIMARY}")
@@ -53,19 +53,19 @@ def agg_a04_per_class(spark, sf):
 
 @query(f"{W}{metrics_sql()} select {K}, schema_valid_rate from metrics_")
 def agg_a05_schema_valid_rate(spark, sf):
-    c = C.cube(generation(spark, sf))
+    c = C.cube(busy(spark, sf))
     return M.quality(c, M.allowed(c)).select(*KEYS, *r6("schema_valid_rate"))
 
 
 @query(f"{W}{metrics_sql()} select {K}, malformed_rate from metrics_")
 def agg_a06_malformed_rate(spark, sf):
-    c = C.cube(generation(spark, sf))
+    c = C.cube(busy(spark, sf))
     return M.quality(c, M.allowed(c)).select(*KEYS, *r6("malformed_rate"))
 
 
 @query(f"{W}{metrics_sql()} select * from metrics_")
 def agg_a07_evaluate_slice(spark, sf):
-    return M.evaluate(generation(spark, sf))
+    return M.evaluate(busy(spark, sf))
 
 
 @query(f"{W}{METRICS} select * from metrics_")
@@ -90,7 +90,7 @@ def agg_a10_dedup_always(spark, sf):
 
 @query(f"{BASE}, p as (select eval_dataset_name, gold, pred, sum(n)::bigint as count from cube_ where gold <> pred group by all) select *, row_number() over (partition by eval_dataset_name order by count desc, gold, pred) as rank from p qualify rank <= 15")
 def agg_a11_top_confused_pairs(spark, sf):
-    return M.top_confused(C.cube(generation(spark, sf)), 15)
+    return M.top_confused(C.cube(busy(spark, sf)), 15)
 
 
 KIND = f"case when gold = pred then 'correct' when gold not in ({listed(NEGATIVES['n4'])}) and pred in ({listed(NEGATIVES['n4'])}) then 'default_negative' when lab is null and pred not in ({listed(NEGATIVES['n4'])}) then 'hallucinated' when lab is not null and pred not in ({listed(NEGATIVES['n4'])}) and gold not in ({listed(NEGATIVES['n4'])}) then 'near_neighbor' when gold in ({listed(NEGATIVES['n4'])}) and pred not in ({listed(NEGATIVES['n4'])}) then 'false_positive' else 'other_error' end"
@@ -108,27 +108,27 @@ SUMS = ", ".join(f"sum({k})::bigint as {k}" for k in ["total", *E.CATEGORIES])
 
 @query(f"{STRATA} select * from strata_")
 def agg_a12_error_counts(spark, sf):
-    return E.strata(generation(spark, sf))
+    return E.strata(busy(spark, sf))
 
 
 @query(f"{STRATA} select *, {PCT(E.CATEGORIES)} from strata_")
 def agg_a25_pct_of_total(spark, sf):
-    return E.percentages(E.strata(generation(spark, sf)))
+    return E.percentages(E.strata(busy(spark, sf)))
 
 
 @query(f"{STRATA}, s as (select scale_group, {SUMS} from strata_ group by all) select scale_group, total, {PCT(E.CATEGORIES)} from s")
 def agg_a25_pct_by_scale(spark, sf):
-    return E.summary(E.strata(generation(spark, sf)), "scale_group")
+    return E.summary(E.strata(busy(spark, sf)), "scale_group")
 
 
 @query(f"{STRATA}, s as (select {REGIME} as regime, {SUMS} from strata_ group by all) select regime, total, {PCT(E.CATEGORIES)} from s")
 def agg_a25_pct_by_regime(spark, sf):
-    return E.summary(E.strata(generation(spark, sf)), "regime")
+    return E.summary(E.strata(busy(spark, sf)), "regime")
 
 
 @query(f"{STRATA}, t as (select kind, sum(n)::bigint as n from kinds group by all) select kind, n from t")
 def err_c01_classify_error(spark, sf):
-    d = E.strata(generation(spark, sf))
+    d = E.strata(busy(spark, sf))
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in E.CATEGORIES])).alias("x")
     return d.select(pairs).select("x.*").groupBy("kind").agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -140,17 +140,17 @@ WRONG = f"{ANALYSED}, al as (select distinct eval_dataset_name, gold as lab from
 
 @query(f"{W}{WRONG} select eval_dataset_name, gold, pred, error_category, count(*) as n from wr_ group by all")
 def err_c02_categorise_error(spark, sf):
-    return E.wrong(generation(spark, sf), prompts=False).groupBy("eval_dataset_name", "gold", "pred", "error_category").agg(F.count("*").alias("n"))
+    return E.wrong(busy(spark, sf), prompts=False).groupBy("eval_dataset_name", "gold", "pred", "error_category").agg(F.count("*").alias("n"))
 
 
 @query(f"{W}{ANALYSED} select eval_dataset_name, model_id, tuned_dataset_name, model_shot, count(*) as total, count(*) filter (gold = pred) as correct, round(1 - correct / total::double, 4) as error_rate from an_ where model_id is not null and tuned_dataset_name is not null group by all")
 def agg_a13_error_rate(spark, sf):
-    return E.error_rates(generation(spark, sf))
+    return E.error_rates(busy(spark, sf))
 
 
 @query(f"{W}{WRONG}, t as (select eval_dataset_name, error_category, count(*) as n from wr_ group by all) select *, round(n / sum(n) over (partition by eval_dataset_name)::double, 4) as share from t")
 def agg_a32_value_counts(spark, sf):
-    return E.category_shares(generation(spark, sf))
+    return E.category_shares(busy(spark, sf))
 
 
 @query()
@@ -195,7 +195,7 @@ def agg_a23_coverage(spark, sf):
 
 @query(f"{BASE}, p as (select {K}, pred, sum(n) as n from cube_ group by all) select {K}, count(*) as n_distinct, round(max(n) / sum(n)::double, 6) as top_share, count(*) <= 1 or max(n) / sum(n)::double > 0.95 as collapsed from p group by all")
 def agg_a24_collapse_check(spark, sf):
-    d = C.cube(generation(spark, sf)).groupBy(*KEYS, "pred").agg(F.sum("n").alias("n"))
+    d = C.cube(busy(spark, sf)).groupBy(*KEYS, "pred").agg(F.sum("n").alias("n"))
     share = F.max("n") / F.sum("n")
     return d.groupBy(*KEYS).agg(F.count("*").alias("n_distinct"), F.round(share, 6).alias("top_share"), ((F.count("*") <= 1) | (share > 0.95)).alias("collapsed"))
 
@@ -236,7 +236,7 @@ def variant_sql(v: str) -> str:
 
 def _variant(v):
     def f(spark, sf):
-        d = M.micro(C.cube(generation(spark, sf), v), NEGATIVES[v])
+        d = M.micro(C.cube(busy(spark, sf), v), NEGATIVES[v])
         return d.select(*KEYS, *r6("micro_precision", "micro_recall", "micro_f1", "accuracy"), "support")
 
     f.__name__ = f"agg_variant_{v}"

@@ -10,7 +10,7 @@ from quern.operators import merging as G
 from quern.operators import mixing as X
 from quern.operators import tokens as N
 from quern.operators.cube import drop_duplicates
-from quern.plans.base import DS, SENT, generation, line, listed, normal, query, read, strip
+from quern.plans.base import DS, SENT, busy, generation, line, listed, normal, query, read, strip
 
 B = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 ANSWER = lambda x: strip(f"regexp_replace({x}, '(?i)^answer\\s*:\\s*', '')")
@@ -89,17 +89,17 @@ def proj_p17_shot_policy(spark, sf):
 
 @query(f"select gen_id, gold, pred from (select gen_id, {normal('relation', 'gold')}, {normal('generated_relation', 'pred')} from generation)")
 def text_t01_normalize_relation(spark, sf):
-    return generation(spark, sf).select("gen_id", T.normalize_relation(F.col("relation")).alias("gold"), T.normalize_relation(F.col("generated_relation")).alias("pred"))
+    return busy(spark, sf).select("gen_id", T.normalize_relation(F.col("relation")).alias("gold"), T.normalize_relation(F.col("generated_relation")).alias("pred"))
 
 
 @query(f"select gen_id, case when relation is null or lower({strip('relation')}) in ('', 'nan', 'null', 'none') then 'none' else {strip('relation')} end as label from generation")
 def text_t02_normalize_label(spark, sf):
-    return generation(spark, sf).select("gen_id", T.normalize_label(F.col("relation")).alias("label"))
+    return busy(spark, sf).select("gen_id", T.normalize_label(F.col("relation")).alias("label"))
 
 
 @query(f"select gen_id, coalesce(nullif({strip('relation')}, ''), 'none') as label from generation")
 def text_t03_label_set_norm(spark, sf):
-    return generation(spark, sf).select("gen_id", T.label_set_label(F.col("relation")).alias("label"))
+    return busy(spark, sf).select("gen_id", T.label_set_label(F.col("relation")).alias("label"))
 
 
 LINE1 = strip(f"regexp_extract({strip('coalesce(generated_relation, ' + chr(39) * 2 + ')')}, '^([^{B[1:]}*)', 1)".replace("[^[", "[^"))
@@ -107,7 +107,7 @@ LINE1 = strip(f"regexp_extract({strip('coalesce(generated_relation, ' + chr(39)
 
 @query(f"select gen_id, {ANSWER(LINE1)} as label from generation")
 def text_t04_postprocess_relation(spark, sf):
-    return generation(spark, sf).select("gen_id", T.postprocess(F.col("generated_relation")).alias("label"))
+    return busy(spark, sf).select("gen_id", T.postprocess(F.col("generated_relation")).alias("label"))
 
 
 THINK = "regexp_replace(regexp_replace(coalesce(generated_relation, ''), '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*$', '')"
@@ -115,12 +115,12 @@ THINK = "regexp_replace(regexp_replace(coalesce(generated_relation, ''), '(?is)<
 
 @query(f"with l as (select gen_id, list_filter(list_transform(regexp_split_to_array({THINK}, '\\r\\n|{B}'), lambda x: {strip('x')}), lambda x: x <> '') as ls from generation) select gen_id, {ANSWER('coalesce(ls[1], ' + chr(39) * 2 + ')')} as label from l")
 def text_t05_postprocess_think(spark, sf):
-    return generation(spark, sf).select("gen_id", T.postprocess_think(F.col("generated_relation")).alias("label"))
+    return busy(spark, sf).select("gen_id", T.postprocess_think(F.col("generated_relation")).alias("label"))
 
 
 @query("select gen_id, left(md5(coalesce(prompt_0_shot, 'nan')), 12) as prompt_hash from generation")
 def text_t06_prompt_hash(spark, sf):
-    return generation(spark, sf).select("gen_id", T.prompt_hash(F.col("prompt_0_shot")).alias("prompt_hash"))
+    return busy(spark, sf).select("gen_id", T.prompt_hash(F.col("prompt_0_shot")).alias("prompt_hash"))
 
 
 ALLOWED = f"select dataset, array_to_string(list_sort(list(distinct {strip('relation')})), ', ') as labels from source_example where {strip('relation')} <> '' group by all"
@@ -128,7 +128,7 @@ ALLOWED = f"select dataset, array_to_string(list_sort(list(distinct {strip('rela
 
 @query(ALLOWED)
 def text_t07_format_allowed_labels(spark, sf):
-    return source(spark, sf).groupBy("dataset").agg(T.allowed_labels(F.col("relation")).alias("labels"))
+    return busy(spark, sf, "source_example").groupBy("dataset").agg(T.allowed_labels(F.col("relation")).alias("labels"))
 
 
 TEMPLATE = "Name the relation. Answer with one of: {allowed_labels}."
@@ -155,39 +155,39 @@ UNRAVEL = (
 @query(f"{UNRAVEL} select example_id, (i - 1)::int as turn, ms[i].role as role, ms[i].content as content from (select example_id, ms, unnest(range(1, len(ms) + 1)) as i from m)")
 def text_t09_unravel_fewshot(spark, sf):
     m = F.posexplode(T.unravel(F.col("prompt_2_shot"))).alias("turn", "m")
-    return source(spark, sf).select("example_id", m).select("example_id", "turn", "m.role", "m.content")
+    return busy(spark, sf, "source_example").select("example_id", m).select("example_id", "turn", "m.role", "m.content")
 
 
 @query(f"{UNRAVEL} select example_id, 'Name the relation.' || chr(10) || chr(10) || array_to_string(list_transform(ms, lambda x: x.content), chr(10) || chr(10)) || chr(10) as chat from m")
 def text_t10_build_chat_text(spark, sf):
-    return source(spark, sf).select("example_id", T.chat_text(F.lit("Name the relation."), T.unravel(F.col("prompt_2_shot"))).alias("chat"))
+    return busy(spark, sf, "source_example").select("example_id", T.chat_text(F.lit("Name the relation."), T.unravel(F.col("prompt_2_shot"))).alias("chat"))
 
 
 @query()
 def text_t11_find_span(spark, sf):
     s = T.find_span(F.col("text"), F.col("entity1"))
-    return source(spark, sf).where("text is not null and entity1 is not null").select("example_id", s["begin"].alias("begin"), s["end"].alias("end"))
+    return busy(spark, sf, "source_example").where("text is not null and entity1 is not null").select("example_id", s["begin"].alias("begin"), s["end"].alias("end"))
 
 
 @query()
 def text_t12_mark_entities(spark, sf):
-    return source(spark, sf).select("example_id", T.mark_entities(*[F.col(c) for c in ("text", "entity1", "entity2", "entity1type", "entity2type")]).alias("marked"))
+    return busy(spark, sf, "source_example").select("example_id", T.mark_entities(*[F.col(c) for c in ("text", "entity1", "entity2", "entity1type", "entity2type")]).alias("marked"))
 
 
 
 @query(f"select example_id, {SENT} as sentence from (select example_id, prompt_0_shot as p from source_example)")
 def text_t13_extract_sentence(spark, sf):
-    return source(spark, sf).select("example_id", T.extract_sentence(F.col("prompt_0_shot")).alias("sentence"))
+    return busy(spark, sf, "source_example").select("example_id", T.extract_sentence(F.col("prompt_0_shot")).alias("sentence"))
 
 
 @query("select example_id, left(text, 100) as t100, left(text, 300) as t300 from source_example")
 def text_t14_truncate_text(spark, sf):
-    return source(spark, sf).select("example_id", T.truncate(F.col("text"), 100).alias("t100"), T.truncate(F.col("text"), 300).alias("t300"))
+    return busy(spark, sf, "source_example").select("example_id", T.truncate(F.col("text"), 100).alias("t100"), T.truncate(F.col("text"), 300).alias("t300"))
 
 
 @query("select distinct 'owner/' || model_id || '-' || tuned_dataset_name || '-' || model_shot || '-shot' as name from generation where model_id is not null and tuned_dataset_name is not null and model_shot is not null")
 def text_t15_repo_name(spark, sf):
-    return generation(spark, sf).dropna(subset=["model_id", "tuned_dataset_name", "model_shot"]).select(T.run_name("owner", F.col("model_id"), F.col("tuned_dataset_name"), F.col("model_shot")).alias("name")).distinct()
+    return busy(spark, sf).dropna(subset=["model_id", "tuned_dataset_name", "model_shot"]).select(T.run_name("owner", F.col("model_id"), F.col("tuned_dataset_name"), F.col("model_shot")).alias("name")).distinct()
 
 
 @query("select model_id, left(lower(split_part(model_id, '-', 1)), 7) as short_key from model_metadata")
@@ -197,7 +197,7 @@ def text_t16_short_model_key(spark, sf):
 
 @query(f"select gen_id, lower({strip('relation')}) in ({listed(NEGATIVES['n2'])}) as catch_all from generation where relation is not null")
 def text_t17_is_catch_all(spark, sf):
-    return generation(spark, sf).where("relation is not null").select("gen_id", T.is_negative(F.col("relation"), NEGATIVES["n2"]).alias("catch_all"))
+    return busy(spark, sf).where("relation is not null").select("gen_id", T.is_negative(F.col("relation"), NEGATIVES["n2"]).alias("catch_all"))
 
 
 # set operations, sampling, mixtures

@@ -53,3 +53,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, if it has fewer partitions than there are cores, as a table of one small file has. Large inputs are left as they are: they cost no shuffle."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan

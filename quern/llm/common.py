@@ -9,9 +9,12 @@ import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.session import spread
+
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    """A table; that of one small file over all cores, as most of its rows go through Python. Large ones are read as they lie."""
+    return spread(spark.read.parquet(f"{sf}/{table}.parquet"))
 
 
 @functools.cache

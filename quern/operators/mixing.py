@@ -38,6 +38,20 @@ def shuffle(df: DataFrame, seed: int, key: str = "example_id") -> DataFrame:
     return df.orderBy(order_key(seed, key), key)
 
 
+def places(df: DataFrame, seed: int, key: str = "example_id") -> DataFrame:
+    """All rows in the order of shuffle(), with the place of each, from 1 on.
+
+    Rows are range-partitioned by the first four digits of their hash and ranked within these 65,536 slices only; a slice's offset is the
+    number of rows in the slices before it. A null key comes first.
+    """
+    d = df.withColumn("_order", order_key(seed, key)).withColumn("_slice", F.coalesce(F.substring("_order", 1, 4), F.lit("")))
+    slices = d.groupBy("_slice").agg(F.count("*").alias("_n"))
+    before = slices.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_before"))  # at most 65,537 rows
+    rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_order", key))  # one slice in 65,536
+    ranked = d.repartitionByRange("_slice").withColumn("_rank", rank).join(F.broadcast(before), "_slice")
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_rank")).alias("place"))
+
+
 def first_n(df: DataFrame, by: list[str], n: Column, seed: int | Column, key: str = "example_id") -> DataFrame:
     """Of each group the n rows that come first in the seeded order, all of them if it has fewer.
 

@@ -65,6 +65,20 @@ def test_sample_and_shuffle(spark):
     assert X.batches(df, 32, "example_id").agg(F.max("batch")).first()[0] == 28
 
 
+def test_places_of_all_rows(spark, tmp_path):
+    import hashlib
+
+    from quern.plans.registry import QUERIES
+
+    source(spark).repartition(5).write.parquet(str(tmp_path / "source_example.parquet"))
+    want = [(k, i + 1) for i, k in enumerate(sorted(range(900), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest()))]
+    assert [(r.example_id, r.place) for r in QUERIES["set_o11_shuffle"](spark, str(tmp_path)).collect()] == want
+    odd = spark.createDataFrame([(None,), (3,), (3,), (1,)], "example_id long").repartition(3)
+    got = [(r.example_id, r.place) for r in X.places(odd, 7).collect()]
+    assert [p for _, p in got] == [1, 2, 3, 4] and [k for k, _ in got] == [r[0] for r in X.shuffle(odd, 7).collect()]
+    assert X.places(odd.limit(0), 7).count() == 0
+
+
 def test_splice_twice_is_splice_once(spark):
     c = ("m", "re_mixtune", 0)
     t = spark.createDataFrame([(1, "m", "re_mixtune", 0, "old"), (2, "m", None, 0, "keep"), (3, "n", "re_mixtune", 0, "keep")], "gen_id long, model_id string, tuned_dataset_name string, model_shot int, generated_relation string")

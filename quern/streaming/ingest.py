@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,32 @@ def stream(spark: SparkSession, folder: str, schema: T.StructType, per_trigger:
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
-def append_new(df: DataFrame, table: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
-    """Append rows to a Parquet table once each: rows merged twice (equal but for their id) within the time rows may be late are dropped. Ends when all that is there is read."""
-    d = df.withWatermark("written_at", late).dropDuplicatesWithinWatermark([*KEYS, "prompt_0_shot", "relation", "generated_relation", "written_at"])
-    return d.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def there(spark: SparkSession, pattern: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def append_new(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append rows to a Parquet table once each: rows merged twice (equal but for their id) are dropped, however late or far apart they come. Ends when all that is there is read.
+
+    Each micro-batch is held against the table itself, so no row is dropped for its time, no state grows with the input, and a batch that is
+    run again after a failure adds only what is missing. Every batch after the first reads the table's keys: larger batches, fewer reads.
+    Only one query may append to a table at a time.
+    """
+    keys = [*KEYS, "prompt_0_shot", "relation", "generated_relation", "written_at"]
+    if there(df.sparkSession, f"{table}/_spark_metadata"):
+        raise ValueError(f"{table} was written by a file sink, whose readers see only the files of its own log; append to another table")
+
+    def put(batch: DataFrame, number: int) -> None:
+        s = batch.sparkSession
+        new = batch.dropDuplicates(keys)
+        if there(s, f"{table}/*.parquet"):
+            old = s.read.schema(batch.schema).parquet(table).select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            new = new.join(old, reduce(lambda a, b: a & b, same), "left_anti")
+        new.write.mode("append").parquet(table)
+
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def accuracy_by_window(df: DataFrame, size: str = "1 hour", late: str = "7 days") -> DataFrame:

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,22 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest.append_new(ingest.stream(spark, at + "/in", df.schema), at + "/out", at + "/ck").awaitTermination()
     assert spark.read.parquet(at + "/out").count() == 2
+
+
+def test_stream_keeps_late_rows(spark, tmp_path):
+    schema = "eval_dataset_name string, model_id string, tuned_dataset_name string, model_shot int, prompt_shot int, gen_type string, prompt_0_shot string, relation string, generated_relation string, written_at timestamp_ntz"
+    at, days = str(tmp_path), [26, 6, 5, 20, 1, 6, 26]
+    for i, day in enumerate(days):  # a late row first, then times in no order; each file but the first repeats a row of the one before
+        rows = [("d", "m", "r", 0, 0, "g", None if k == 1 else f"p{k}", "a", "a", datetime(2025, 1, x)) for k, x in ((i, day), (max(i - 1, 0), days[max(i - 1, 0)]))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(at + "/in")
+    given = spark.read.parquet(at + "/in")
+    for _ in range(2):
+        ingest.append_new(ingest.stream(spark, at + "/in", given.schema, per_trigger=1), at + "/out", at + "/ck").awaitTermination()
+    want = sorted((r.prompt_0_shot or "", r.written_at) for r in given.distinct().collect())
+    got = spark.read.parquet(at + "/out").withColumn("written_at", F.col("written_at").cast("timestamp_ntz"))
+    assert len(want) == 7 and sorted((r.prompt_0_shot or "", r.written_at) for r in got.collect()) == want
+    ingest.append_new(ingest.stream(spark, at + "/in", given.schema), at + "/out", at + "/again").awaitTermination()  # all of it once more
+    assert spark.read.parquet(at + "/out").count() == 7
+    (tmp_path / "sink" / "_spark_metadata").mkdir(parents=True)
+    with pytest.raises(ValueError, match="file sink"):
+        ingest.append_new(ingest.stream(spark, at + "/in", given.schema), at + "/sink", at + "/other")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.config import DATASETS, EXAMPLE_COLUMNS, GROUPS, LITERARY, MIXTURES, MODELS, NEGATIVES, REGIMES, SHOTS
+from quern.config import DATASETS, EXAMPLE_COLUMNS, GROUPS, LITERARY, MAX_LENGTH, MIXTURES, MODELS, NEGATIVES, REGIMES, SHOTS
 from quern.functions import text as T
 from quern.operators import merging as G
 from quern.operators import mixing as X
@@ -349,7 +349,7 @@ MASK_IDS = f"select example_id, len({TOK('prompt_0_shot')}) as p, list_transform
 def set_o22_label_mask(spark, sf):
     p, a = N.words(F.col("prompt_0_shot")), N.words(F.col("relation"))
     ids = F.transform(F.concat(p, a), F.length)
-    labels = N.label_mask(ids, F.size(p), 64)
+    labels = N.label_mask(ids, F.size(p), MAX_LENGTH)  # the SQL cuts at 64
     return source(spark, sf).select("example_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), " ").alias("labels"))
 
 
@@ -372,12 +372,12 @@ TRUNC = f"with {FIRST}, l as (select eval_dataset_name as dataset, '0-shot' as c
 
 @query(f"{TRUNC} select * from s")
 def tab_r19_truncation_stats(spark, sf):
-    return N.truncation(N.first_per_prompt(generation(spark, sf)), 128)
+    return N.truncation(N.first_per_prompt(generation(spark, sf)), MAX_LENGTH)  # the SQL counts from 128 on
 
 
 @query(f"{TRUNC} select dataset, max(train_max) as train_max, max(pct_train_trunc) as pct_train_trunc, max(infer_max) as infer_max from s group by all")
 def agg_a30_max_worst_case(spark, sf):
-    return N.worst_case(N.truncation(N.first_per_prompt(generation(spark, sf)), 128))
+    return N.worst_case(N.truncation(N.first_per_prompt(generation(spark, sf)), MAX_LENGTH))
 
 
 @query("select eval_dataset_name, quantile_cont(length(generated_relation), [0.025, 0.5, 0.95, 0.975]) as q from generation where generated_relation is not null group by all".replace("quantile_cont(length(generated_relation), [0.025, 0.5, 0.95, 0.975]) as q", "round(quantile_cont(length(generated_relation), 0.025), 6) as q025, round(quantile_cont(length(generated_relation), 0.5), 6) as q500, round(quantile_cont(length(generated_relation), 0.95), 6) as q950, round(quantile_cont(length(generated_relation), 0.975), 6) as q975"))

@@ -119,6 +119,21 @@ def test_windows_and_blocks(spark):
     assert m([1, 2, 3, 4], 2, 9) == [-100, -100, 3, 4] and m([1, 2, 3], 5, 9) == [-100] * 3 and m([1, 2, 3, 4], 1, 3) == [-100, 2, 3]
 
 
+def test_sequences_reach_the_reference_length(spark, tmp_path):
+    from quern.plans.registry import QUERIES
+
+    prompt = {1: 3, 2: 64, 3: 200, 4: 1023, 5: 1024}
+    rows = [(k, "w " * n, "per:age of") for k, n in prompt.items()]
+    spark.createDataFrame(rows, "example_id long, prompt_0_shot string, relation string").write.parquet(str(tmp_path / "source_example.parquet"))
+    got = {r.example_id: r.labels.split(" ") for r in QUERIES["set_o22_label_mask"](spark, str(tmp_path)).collect()}
+    assert got == {k: (["-100"] * n + ["7", "2"])[:1024] for k, n in prompt.items()}
+    rows = [(k, "d", "w " * n, "w " * n, "per:age of") for k, n in prompt.items()]
+    spark.createDataFrame(rows, "gen_id long, eval_dataset_name string, prompt_0_shot string, prompt_2_shot string, relation string").write.parquet(str(tmp_path / "generation.parquet"))
+    got = QUERIES["tab_r19_truncation_stats"](spark, str(tmp_path)).collect()
+    assert [(r.train_max, r.pct_train_trunc, r.pct_train_label_cut) for r in got] == [(1026, 40.0, 20.0)] * 2
+    assert [r.pct_train_trunc for r in QUERIES["agg_a30_max_worst_case"](spark, str(tmp_path)).collect()] == [40.0]
+
+
 def test_tokenise_and_score(spark):
     df = spark.createDataFrame([(1, "a bb"), (2, None)], "k long, t string")
     assert {r.k: r.ids for r in N.tokenise(df, "t", "k", lambda xs: [[len(w) for w in x.split()] for x in xs]).collect()} == {1: [1, 2], 2: []}

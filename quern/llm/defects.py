@@ -26,6 +26,7 @@ from .common import THINK_CLOSED, is_empty, is_none_word, read
 from .labels import BETWEEN, CAMEL, GLUE, Vocabulary
 
 SAMPLE_PROMPTS, SAMPLE_TEXTS = 1500, 600  # bounds of the sample the classifier is fitted on
+MAX_ENTRIES = 100_000  # of the reference list, which every task holds
 WIDTH, DENSE = 1 << 16, 40  # hashed and pair features
 DEFECTS = ("truncated", "refusal", "copy", "language")
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -385,7 +386,8 @@ def snippets(texts: list[str], rng: np.random.Generator) -> list[str]:
         ws = TOKEN.findall(t)
         if len(ws) < 3:
             if len(t) > 6 and not t.isascii() and unicodedata.category(t[len(t) // 2]) == "Lo":
-                out.append(t[: int(rng.integers(4, 24))])
+                k = int(rng.integers(len(t) - 3))
+                out.append(t[k : k + int(rng.integers(4, 24))])
             continue
         low = [w.lower() for w in ws]
         hits = {k: sum(w in v for w in low) / len(low) for k, v in common.items()}
@@ -407,7 +409,7 @@ def train(prompts: list[str], entries: list[tuple], texts: list[str], seed: int
     rng = np.random.default_rng(seed)
     ex = Extractor(entries)
     labels = [x for e in entries for x in (e[2], e[3]) if x] or ["part of the whole"]
-    pairs = synthetic(prompts, labels, snippets(texts, rng), rng) if prompts else []
+    pairs = synthetic(prompts, labels, snippets(texts, np.random.default_rng(seed)), rng) if prompts else []
     pairs = [p for p in pairs if not is_empty(p[1])]
     if not pairs:
         return Model(entries, np.zeros((len(DEFECTS), WIDTH + DENSE)), np.full(len(DEFECTS), 1e9))
@@ -455,9 +457,11 @@ def first_by_hash(df: DataFrame, key: str, value: str, n: int) -> list[str]:
 
 
 def fit_tables(generation: DataFrame, entries: DataFrame, documents: DataFrame) -> Model:
-    listed = [tuple(r) for r in entries.select("label_id", "dataset", "label", "display_name").where("label is not null and dataset is not null").limit(100_000).collect()]
+    listed = [tuple(r) for r in entries.select("label_id", "dataset", "label", "display_name").where("label is not null and dataset is not null").limit(MAX_ENTRIES + 1).collect()]
+    if len(listed) > MAX_ENTRIES:
+        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
     prompts = first_by_hash(generation, "gen_id", "prompt_0_shot", SAMPLE_PROMPTS)
-    texts = first_by_hash(documents.where("lower(coalesce(lang, '')) not like 'en%' and lang <> ''").select("doc_id", F.substring("text", 1, 400).alias("text")), "doc_id", "text", SAMPLE_TEXTS)
+    texts = first_by_hash(documents.where("lower(coalesce(lang, '')) not like 'en%' and lang <> ''"), "doc_id", "text", SAMPLE_TEXTS)
     return train(prompts, listed, texts)
 
 

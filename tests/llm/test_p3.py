@@ -62,3 +62,18 @@ def test_tables(spark, model):
     docs = spark.createDataFrame([(1, None, "fr"), (2, "x", None)], "doc_id long, text string, lang string")
     assert (D.fit_tables(df.limit(0), entries, docs).weights == 0).all()
     assert D.fit_tables(df, entries, docs.limit(0)).weights.shape[0] == len(D.DEFECTS)
+
+
+def test_fit_sees_whole_texts_and_all_entries(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(D, "train", lambda prompts, entries, texts: seen.append((prompts, entries, texts)))
+    g = spark.createDataFrame([(1, "p")], "gen_id long, prompt_0_shot string")
+    entries = spark.createDataFrame(ENTRIES, "label_id long, dataset string, label string, display_name string")
+    text = "le chat dort " * 100 + "fin"
+    D.fit_tables(g, entries, spark.createDataFrame([(1, text, "fr")], "doc_id long, text string, lang string"))
+    assert seen[0][2] == [text] and len(seen[0][1]) == len(ENTRIES)
+    out = {x for k in range(40) for x in D.snippets(["".join(chr(0x4E00 + i) for i in range(300))], np.random.default_rng(k))}
+    assert max(ord(x[0]) - 0x4E00 for x in out) > 150
+    monkeypatch.setattr(D, "MAX_ENTRIES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        D.fit_tables(g, entries, spark.createDataFrame([(1, text, "fr")], "doc_id long, text string, lang string"))

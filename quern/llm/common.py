@@ -42,7 +42,8 @@ def words_re() -> re.Pattern:
 
 THINK_CLOSED = re.compile(r"<think>.*?</think>", re.S | re.I)
 THINK_OPEN = re.compile(r"<think>.*\Z", re.S | re.I)
-MARKER = re.compile(r"^\W*(?:answer|label|relation|output|response)\s*[:\-=]\s*", re.I)
+EMPTY_THINK = re.compile(r"<think>\W*</think>|<think>\W*\Z", re.I)
+ONLY_MARKER = re.compile(r"\W*(?:(?:final\s+)?(?:answer|output|response)\W*|(?:label|relation)\s*[:=]\W*)?\Z", re.I)
 NONE_WORD = re.compile(r"""^[\s"'`‘’“”]*(?:none|null|nan|na|n/a)[\s"'`‘’“”]*$""", re.I)
 
 
@@ -50,10 +51,11 @@ def is_empty(value: str | None) -> bool:
     """Null, or nothing but spaces, invisible characters, punctuation, an answer marker or an empty think block."""
     if value is None or value != value:
         return True
-    if any(c.isalnum() for c in value[:1]) and len(value) > 60:
-        return False
-    x = re.sub(r"<think>\W*</think>|<think>\W*\Z", " ", value, flags=re.I)
-    x = re.sub(r"^\W*(?:answer|output|response)\W*$", "", x, flags=re.I)
+    if value[:1].isalnum() and "<" not in value and not ONLY_MARKER.match(value):
+        return False  # a letter or digit that is no marker's
+    x = EMPTY_THINK.sub(" ", value)
+    if ONLY_MARKER.match(x):
+        return not any(unicodedata.category(c)[0] == "S" for c in x if c not in "`^~|<>=+$")
     return not any(unicodedata.category(c)[0] in "LNS" for c in x if c not in "`^~|<>=+$")
 
 

@@ -89,9 +89,9 @@ class Extractor:
 
     def __init__(self, entries: list[tuple[int, str, str, str | None]]):
         voc = Vocabulary(entries)
-        self.words = set(voc.forms) | {w for d in voc.single.values() for k in d for w in k}
+        self.words = set(voc.forms)
         self.stems: dict[str, bool] = {}
-        for w in voc.idf:
+        for w in voc.idf2:
             for n in range(2, len(w) - 2):  # a cut drops at least three letters
                 self.stems[w[:n]] = True
         self.pieces = {w[i : i + 4] for w in self.words for i in range(len(w) - 3)}

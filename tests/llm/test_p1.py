@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from quern.llm import labels as L
@@ -26,7 +27,7 @@ def vocabulary():
 
 @pytest.mark.parametrize(("dataset", "value", "want"), CASES)
 def test_values(vocabulary, dataset, value, want):
-    vocabulary.repair({t.lower() for t in L.WORD.findall(L.clean(value).replace("_", " "))})
+    vocabulary.repair(set(L.tokens_of(L.clean(value))))
     got = vocabulary.entry(dataset, value)
     assert got == want or dataset == "nyt" and value.startswith("/trade/dialect/inst") and got in (30, 31, -1)
 
@@ -42,11 +43,11 @@ def test_distance_is_that_of_all_prefixes():
         return d[len(a), len(b)]
 
     tokens, words = ["steard", "tsewadr", "x", "manuscriptof"], ["steward", "a", "manuscript", "of"]
-    got = L.osa(tokens, words)
-    for t, a in enumerate(tokens):
-        for w, b in enumerate(words):
-            for i in range(len(a) + 1):
-                assert got[t, w, i] == slow(b, a[:i])
+    pairs = [(a, b) for a in tokens for b in words]
+    got = L.osa([a for a, _ in pairs], [b for _, b in pairs])
+    for p, (a, b) in enumerate(pairs):
+        for i in range(len(a) + 1):
+            assert got[i, p] == slow(b, a[:i])
 
 
 def test_rows(spark):
@@ -60,3 +61,53 @@ def test_rows(spark):
     assert got == sorted([(6, 1), (6, 1), (7, -1), (8, -1), (9, -1), (None, 20)], key=str)
     assert L.map_values(spark.createDataFrame([], schema), entries).count() == 0
     assert {r.label_id for r in L.map_values(spark.createDataFrame(rows, schema), entries.limit(0)).collect()} == {-1}
+
+
+def test_repetition_without_separators_and_lines(vocabulary):
+    for dataset, value, want in [("rebel", "parishregistrar" * 4, 1), ("bio", "Other" * 12, 20), ("bio", "heirOfSyndicate" * 5, 21), ("bio", "Answer:\nOther", 20), ("bio", "Answer:\n\nnot this one", -1), ("rebel", "x" * 5000, -1), ("rebel", "keeper of the " + "vault" * 30, 4)]:
+        vocabulary.repair(set(L.tokens_of(L.clean(value))))
+        assert vocabulary.entry(dataset, value) == want, value
+
+
+def test_one_place_is_one_word(vocabulary):
+    """A token like two words of an entry stands for one of them only; further words in the window lower the score."""
+    v = L.Vocabulary([(1, "d", "patron of the charter", None), (2, "d", "steward of the manuscript", None)])
+    for value, want in [("old chess partners", -1), ("steward of the old manuscript", 2), ("steward who once kept that manuscript", -1), ("steward", -1), ("manuscript", -1)]:
+        v.repair(set(L.tokens_of(value)))
+        assert v.entry("d", value) == want, value
+
+
+def test_index_loses_no_candidate():
+    r = np.random.default_rng(3)
+    letters = list("abcdeiorst")
+    forms = sorted({"".join(r.choice(letters, int(r.integers(2, 13)))) for _ in range(300)})
+    index = L.Segments(forms)
+    for f in (int(x) for x in r.integers(0, len(forms), 400)):
+        t = list(forms[f])
+        for _ in range(int(r.integers(0, L.slips(forms[f]) + 1))):
+            i, kind = int(r.integers(0, len(t))), int(r.integers(4))
+            t[i : i + 1] = [] if kind == 0 and len(t) > 1 else [t[i], str(r.choice(letters))] if kind == 1 else [str(r.choice(letters))]
+            if kind == 3 and i + 1 < len(t):
+                t[i], t[i + 1] = t[i + 1], t[i]
+        token = "".join(t)
+        got = set(index.candidates(token).tolist())
+        d = L.osa([token] * len(forms), forms)[len(token)]
+        assert {k for k in range(len(forms)) if d[k] <= min(L.slips(forms[k]), max(0, len(forms[k]) - 1))} <= got
+
+
+def test_as_many_entries_as_allowed():
+    """A list of MAX_ENTRIES entries: the tables of a block stay bounded and values are still found."""
+    import resource
+
+    r = np.random.default_rng(5)
+    parts = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo zu".split()
+    words = sorted({"".join(r.choice(parts, int(r.integers(3, 6)))) for _ in range(12_000)})
+    pairs = r.integers(0, len(words), (L.MAX_ENTRIES, 2))
+    v = L.Vocabulary([(k, "d", f"{words[a]} of {words[b]}", None) for k, (a, b) in enumerate(pairs)])
+    for k in (7, 70_000):
+        a, b = (words[x] for x in pairs[k])
+        for value in (f"{b} {a}", f"{a[:2]}{a[3:]} of the {b}"):
+            v.repair(set(L.tokens_of(value)))
+            assert {words[x] for x in pairs[v.entry("d", value)]} == {a, b}
+    v.repair({"".join(r.choice(parts, 5)) for _ in range(200)})
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 3_000_000

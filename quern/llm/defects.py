@@ -1,17 +1,25 @@
 """Problem 3: broken prompt and response pairs.
 
 Method: a multi-label linear classifier (one logistic regression for each defect) on hashed word and character n-grams of the response, the
-mentions masked, and on features of the pair (what the response shares with the prompt, how it ends, whether a label breaks off). It is
-trained on synthetic responses: labels and answers of a bounded sample of prompts are truncated, copied, swapped, refused and put in other
-languages; each defect's threshold is calibrated on held-out synthetic pairs. `empty` follows from its definition.
+mentions masked, and on features of the pair (what the response shares with the prompt, how it ends, whether a label breaks off, which of its
+words are English). It is trained on synthetic responses: labels and answers of a bounded sample of prompts are truncated, copied, swapped,
+refused and put in other languages; each defect's threshold is calibrated on held-out synthetic pairs. `empty` follows from its definition.
+
+No answer of the table is a training text. Refusals and broken sentences are put together of general word classes; other languages are learnt
+from the foreign documents and from words that a public tokenizer's vocabulary for many languages has and its English one has not, in random
+runs; plain answers are random runs of English words, also after words of denial, and invented words.
 
 Rows are judged where they are scanned: no shuffle, and a prompt that holds a third of all rows is no hot key. The fit sees SAMPLE_PROMPTS
-prompts and SAMPLE_TEXTS foreign texts, drawn by the hash of their id from the whole tables; the thresholds and weights are of fixed size.
+distinct prompts and SAMPLE_TEXTS distinct foreign texts, drawn by their hash from the whole tables; the thresholds and weights are of fixed
+size. The two vocabulary files are read by the driver only.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import math
+import os
 import re
 import unicodedata
 import zlib
@@ -25,38 +33,86 @@ from pyspark.sql import functions as F
 from .common import THINK_CLOSED, is_empty, is_none_word, read
 from .labels import BETWEEN, CAMEL, GLUE, Vocabulary
 
-SAMPLE_PROMPTS, SAMPLE_TEXTS = 1500, 600  # bounds of the sample the classifier is fitted on
+SAMPLE_PROMPTS, SAMPLE_TEXTS = 1000, 600  # bounds of the sample the classifier is fitted on
 MAX_ENTRIES = 100_000  # of the reference list, which every task holds
-WIDTH, DENSE = 1 << 16, 40  # hashed and pair features
+WIDTH, DENSE = 1 << 16, 56  # hashed and pair features
 DEFECTS = ("truncated", "refusal", "copy", "language")
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 END = ".!?。！？؟…"
 QUOTES = "\"'”’»)]*`"
 
-# Phrases for a tie between two parties in languages other than English, seeds of the class `language`.
-FOREIGN = """La relation est : |né à|frère de|épouse de|travaille pour|habite à|voisin de|fils de|ami de la famille|ils se connaissent depuis l'enfance|propriétaire de la maison|marié avec|mère de|dirige l'entreprise
-Die Beziehung lautet: |geboren in|Bruder von|verheiratet mit|arbeitet für|wohnt in|gehört zu|befreundet seit der Schulzeit|Tochter des Bürgermeisters|Nachbar von|Sohn von|leitet das Unternehmen|Frau des Bäckers
-La relación es: |nacido en|hermano de|casado con|trabaja para|vive en|hijo de|se conocen desde niños|dueño de la casa|vecino de|madre de|esposa de|dirige la empresa
-La relazione è: |nato a|fratello di|sposato con|lavora per|abita a|figlia del sindaco|si conoscono da anni|amico di|moglie di|padrone di casa|vive con|figlio di|dirige l'azienda
-Relacja to: |urodzony w|jest bratem|żona rybaka|pracuje dla|mieszka w|znają się od dziecka|sąsiad|jest córką|mąż|syn burmistrza|właściciel domu|kieruje firmą
-A relação é: |nascido em|irmão de|casado com|trabalha para|mora em|amigos desde a infância|vizinho de|filho do prefeito|dono da casa|esposa de
-De relatie is: |geboren te|broer van|getrouwd met|werkt voor|woont in|vrienden sinds de schooltijd|buurman van|dochter van de burgemeester|eigenaar van het huis
-Relationen är: |född i|bror till|gift med|arbetar för|bor i|vänner sedan barndomen|granne till|dotter till|ägare av huset
-Vztah je: |narozen v|bratr|ženatý s|pracuje pro|bydlí v|přátelé od dětství|soused|dcera starosty|majitel domu
-İlişki: |doğum yeri|kardeşi|ile evli|için çalışıyor|oturuyor|çocukluktan beri tanışıyorlar|komşusu|belediye başkanının kızı
-Отношение: |родился в|брат|жена|работает на|живёт в|знакомы с детства|сосед по улице|дочь мэра|хозяин дома|друг семьи
-Η σχέση είναι: |γεννήθηκε στο|αδελφός του|παντρεμένος με|εργάζεται για|μένει στο|γνωρίζονται από παιδιά|γείτονας|κόρη του δημάρχου
-关系是：|出生于|兄弟关系|妻子|为其工作|住在|两人从小认识|邻居|市长的女儿|房子的主人
-العلاقة هي: |ولد في|شقيق|متزوج من|يعمل لدى|يسكن في|يعرفان بعضهما منذ الطفولة|جار|ابنة العمدة"""
-FOREIGN = [line.split("|") for line in FOREIGN.split("\n")]  # an opening, then ties, by language
-# Parts of refusals, of answers that break off, and of plain answers outside the schema.
-OPENERS = ["", "Sorry, ", "I'm sorry, but ", "I’m sorry, ", "Unfortunately, ", "Apologies, but ", "Hmm. ", "As an AI language model, ", "As a language model, ", "As an assistant, ", "I apologize, but "]
-DENIALS = ["I cannot determine", "I can't help with", "I am unable to answer", "I'm not able to decide", "I do not have enough context to judge", "there is not enough information to determine", "it is not possible for me to identify", "I must decline to label", "I won't speculate about", "I don't know", "I cannot answer", "it is impossible to tell", "I would rather not say", "I can’t provide", "the text does not say enough for me to name", "I refuse to label", "I could not identify", "cannot determine", "unable to determine", "can't say", "cannot answer", "unable to answer", "unable to comply", "I decline to answer", "I am not able to answer", "I must refuse", "I'm afraid I can't tell", "no answer can be given for"]
-OBJECTS = [" this", " this pair", " the relation", " the relation between the two entities", " that from the given text", " the requested label", " that", " which label applies", ""]
-TAILS = ["", ".", "!", ". Please provide more context.", ". Please share more text."]
-BROKEN = ["The relation between {a} and {b} is", "{a} and {b} are described as the", "The label that fits best here would be", "The label that fits best here would be a", "Based on the sentence, the two mentions are connected by the", "In this passage, {a} appears to be the", "The passage says that {a}", "According to the text, {b} was", "Looking at the text, {s}", "It seems that {s}", "The answer follows from the passage, since {s}", "From the sentence we can see that {s}", "The two mentions share a"]
-PLAIN = ["old chess partners", "next door neighbours", "blood brothers", "mistaken twin", "unable to forgive", "feels sorry about", "cannot stand", "sorry for", "refuses to visit", "declines invitations from", "unable to trust", "apologises to", "knows nothing about", "can't forget", "unsure about", "former classmates", "shares a boat with", "distant cousins", "never met", "lost friends", "not sorry about", "will not dance with", "admires from afar", "business rivals", "childhood friends", "is unable to beat", "cannot live without", "has no time for"]
-WRAPS = ["{x}", "{x}", "{x}", "{x}", "{x} / {x} / {x} / {x} / {x} / {x} / {x} / {x}", "{x}\n{x}\n{x}\n{x}\n{x}\n{x}", "{x}, {x}, {x}, {x}, {x}, {x}, {x}", "Answer: {x}", "answer : {x}", "The relation is {x}.", "I think it is {x}", "{x} (likely)", "{x} (high confidence)", "{{\"relation\": \"{x}\"}}", "**{x}**", "`{x}`", "- {x}", "\"{x}\"", "{x}\n", "  {x} ", "<think>\nshort check\n</think>\n\n{x}", "{x}\nExplanation: {s}", "{x}, {x}", "{x} / {x} / {x}", "{x}\n{x}", "{x}.", "Label: {x}", "The best label here is {x}.", "It must be {x}, given the text."]
+LEXICONS = "/opt/tokenizers"  # or QUERN_LEXICONS: folder of the two vocabularies, of English and of many languages, with a word's rank
+ENGLISH, MANY = "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"
+# Closed-class words (articles, prepositions, pronouns, conjunctions, forms of to be and to have) of languages in Latin letters.
+CLOSED = {
+    "en": "a an the of to in on at by for from with as into about over under after before between and or but if than that this these those who which whose it its he him his she her they them their we us our you your i me my is are was were be been am do does did has have had not no so up out off all both each other one",
+    "fr": "le la les l un une des du de d à au aux en dans sur sous par pour avec sans chez et ou mais que qui ne pas ce cette ces son sa ses leur leurs il elle ils elles je nous vous est sont été était a ont se",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber nicht von vom zu zum zur mit bei in im an am auf aus für über unter nach vor ist sind war waren hat haben wird er sie es ich wir ihr sich sein seine ihre",
+    "es": "el la los las un una unos unas de del a al en con por para sin sobre entre y o pero que no es son era fue está ha han se su sus él ella ellos lo le les yo",
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle a al allo alla ai in nel nella con per da dal dalla su sul tra fra e o ma che non è sono era ha hanno si suo sua loro lui lei egli",
+    "pt": "o a os as um uma de do da dos das em no na nos nas ao à por pelo pela para com sem e ou mas que não é são foi era está tem se seu sua ele ela eles",
+    "nl": "de het een van in op aan bij met voor door uit naar over te en of maar niet is zijn was waren heeft hebben wordt hij zij ze het hun haar dat die",
+    "sv": "en ett den det de av i på till för med från om och eller men inte är var har hade som han hon sin sina vid hos",
+    "da": "en et den det de af i på til for med fra om og eller men ikke er var har havde som han hun sin sit ved hos",
+    "pl": "w we z ze na do od dla o po przy przez u i oraz lub ale nie jest są był była być się to ten ta jego jej ich on ona oni który która",
+    "cs": "v ve z ze na do od pro o po při u s se i a nebo ale ne je jsou byl byla být to ten ta jeho její jejich on ona který která",
+    "tr": "ve veya ama ile için bir bu şu o da de mi ne gibi kadar değil olan olarak onun",
+    "ro": "un o de la în din cu pe pentru prin și sau dar nu este sunt era a au se lui ei său",
+    "hu": "a az egy és vagy de nem van volt hogy ki aki mint meg el be",
+    "fi": "ja tai mutta ei on ovat oli se hän he joka kanssa",
+}
+CLOSED = {k: v.split() for k, v in CLOSED.items()}
+OWN = frozenset(CLOSED["en"])
+OTHERS = frozenset(w for k, v in CLOSED.items() if k != "en" for w in v) - OWN
+# Word classes that refusals are put together of; {v} is a verb of VERBS, {n} a noun of NOUNS.
+OPENERS = ["", "", "", "Sorry, ", "I'm sorry, ", "I am sorry, but ", "I’m sorry, ", "Unfortunately, ", "Apologies, but ", "I apologize, but ", "Regrettably, ", "Well, ", "As an AI, ", "As an AI assistant, ", "As an AI language model, ", "As a language model, ", "Based on this alone, "]
+DENIALS = ["I cannot {v}", "I can't {v}", "I can’t {v}", "I could not {v}", "I couldn't {v}", "I am unable to {v}", "I'm unable to {v}", "unable to {v}", "cannot {v}", "I am not able to {v}", "I'm not able to {v}", "I will not {v}", "I won't {v}", "I do not wish to {v}", "I must decline to {v}", "I decline to {v}", "I refuse to {v}", "I prefer not to {v}", "I would rather not {v}", "it is impossible to {v}", "it is not possible to {v}", "it is impossible for me to {v}", "it is not possible for me to {v}", "there is no way to {v}", "I do not know how to {v}", "I don't {v}", "I do not {v}", "I don’t {v}", "there is not enough {n} to {v}", "there is too little {n} to {v}", "I do not have enough {n} to {v}", "I don't have enough {n} to {v}", "I lack the {n} to {v}", "insufficient {n} to {v}", "the {n} does not allow me to {v}", "no {n} is given to {v}"]
+VERBS = "answer|tell|say|determine|decide|identify|judge|name|label|classify|infer|conclude|provide|give|help with|comment on|speculate about|guess|respond to|assist with|comply with|choose|establish|know|fulfil".split("|")
+NOUNS = "information|context|detail|evidence|text|data|knowledge|background".split("|")
+OBJECTS = ["", " this", " that", " it", " this pair", " this request", " this question", " the relation", " the label", " a relation", " an answer", " the requested relation", " the relation of these entities", " how they are related", " the relation between {a} and {b}", " from this text", " that from the text given"]
+TAILS = ["", "", ".", ".", "!", ". More context is needed.", ". Please give more text.", ". Could you provide more context?"]
+# Word classes that sentences are put together of before they are broken off.
+THINGS = "relation|link|tie|connection|label|answer|bond|category".split("|")
+TEXTS = "text|passage|sentence|paragraph|excerpt|example".split("|")
+LEADS = ["Looking at the {t}, ", "Reading the {t}, ", "Given the {t}, ", "Judging by the {t}, ", "According to the {t}, ", "Based on the {t}, ", "In the {t}, ", "From the {t} ", "Here ", ""]
+CLAUSES = ["the {k} between {a} and {b} is", "the {k} of {a} and {b} would be", "the {k} that fits best is", "the best {k} here would be the", "{a} and {b} are described as", "{a} and {b} appear as the", "{a} seems to be the", "{a} was the", "{b} is called a", "the two names share a", "the two are joined by the", "the {t} says that {s}", "the {t} mentions {a} and", "it is said that {s}", "we can see that {s}", "it seems that {s}", "{s}"]
+THOUGHTS = ["{s}", "The {t} names {a} and {b}. {s}", "The {k} has to be found. {s}", "I should read the {t} first. {s}"]
+# Words of denial in answers that are no refusals: what follows is no verb of VERBS.
+WITHOUT = "unable to|not able to|cannot|can't|could not|never|not|no longer|sorry for|sorry about|refuses to|refused to|declines|unwilling to|without|will not|won't|knows nothing about|impossible to|doubts".split("|")
+WRAPS = ["{x}", "{x}", "{x}", "{x}", "{x}", "{x} / {x} / {x} / {x} / {x} / {x}", "{x}\n{x}\n{x}\n{x}\n{x}", "{x}, {x}, {x}, {x}, {x}, {x}", "Answer: {x}", "answer : {x}", "The {k} is {x}.", "I think it is {x}", "I would say {x}", "{x} (probably)", "{x} (sure)", "{{\"relation\": \"{x}\"}}", "**{x}**", "`{x}`", "- {x}", "\"{x}\"", "{x}\n", "  {x} ", "<think>\n{s}\n</think>\n\n{x}", "<think>\nyes\n</think>\n{x}", "{x}\nReason: {s}", "{x}, {x}", "{x} / {x} / {x}", "{x}\n{x}", "{x}.", "Label: {x}", "The best {k} here is {x}.", "It must be {x}, from the {t}."]
+
+
+def lexicons(folder: str) -> dict[str, float]:
+    """Words of the two vocabularies, from 0.4 to 1 for English ones and -1 for those of other languages only; openings of English words are not listed."""
+
+    def ranks(name: str) -> dict[str, int]:
+        out = {}
+        with open(os.path.join(folder, name), "rb") as f:
+            for line in f:
+                piece, rank = line.split()
+                w = base64.b64decode(piece).decode("utf-8", "ignore")
+                if w[:1] == " " and w[1:].isalpha() and w[1:].islower() | (w[1:].upper() == w[1:].lower()):
+                    out[w[1:]] = int(rank) + 1
+        return out
+
+    english, many = ranks(ENGLISH), ranks(MANY)
+    openings = {w[:n] for w in english for n in range(3, len(w))}
+    british = lambda w: w.replace("our", "or").replace("is", "iz")
+    out = {w: 1.0 if w not in many else max(0.4, min(1.0, math.log2(many[w] / r))) for w, r in english.items() if len(w) > 1}
+    out |= {w: -1.0 for w in OTHERS if len(w) <= 3 or w in many and many[w] < english.get(w, 1 << 20)}
+    out |= {w: 1.0 for w in OWN}
+    out |= {w: -1.0 for w in many if w not in english and w not in openings and not inflects(w, out) and not inflects(british(w), out)}
+    return out
+
+
+def inflects(w: str, tongue: dict[str, float]) -> bool:
+    """Whether w is an English word, an inflection of one, or one with an opening of negation or repetition."""
+    if tongue.get(w, 0) > 0.3:
+        return True
+    for end in ("s", "es", "d", "ed", "ing", "er", "ly", "'s", "’s"):
+        if w.endswith(end) and len(w) > len(end) + 2 and max(tongue.get(w[: -len(end)], 0), tongue.get(w[: -len(end)] + "e", 0)) > 0.3:
+            return True
+    return len(w) > 4 and w[:2] in ("un", "re") and tongue.get(w[2:], 0) > 0.3
 
 
 class Prompt:
@@ -87,8 +143,11 @@ def grams(ws: list[str]) -> set[tuple[str, str]]:
 class Extractor:
     """Features of a pair: numbers of the hashed ones with their values, then the pair features."""
 
-    def __init__(self, entries: list[tuple[int, str, str, str | None]]):
+    def __init__(self, entries: list[tuple[int, str, str, str | None]], tongue: dict[str, float]):
         voc = Vocabulary(entries)
+        # some words of other languages are left out, so that the fit meets words that are not listed
+        self.tongue = {w: v for w, v in tongue.items() if v > 0 or w in OTHERS or zlib.crc32(w.encode()) % 5 < 3}
+        self.openings = {w[:n] for w, v in tongue.items() if v > 0 for n in range(2, len(w))}
         self.words = set(voc.forms)
         self.stems: dict[str, bool] = {}
         for w in voc.idf2:
@@ -115,6 +174,10 @@ class Extractor:
             x = self.near[token] = max((2 * n / (len(own) + len(w) - 1) for w, n in shared.items()), default=0.0)
         return x
 
+    def english(self, w: str) -> float:
+        """From 1 (an English word or its inflection) to -1 (a word of another language), 0 for neither."""
+        return self.tongue.get(w) or float(inflects(w, self.tongue))
+
     def cut_label(self, ws: list[str]) -> bool:
         """Whether the response is label words of which the last breaks off."""
         last, rest = ws[-1], ws[:-1]
@@ -136,7 +199,7 @@ class Extractor:
             x = self.prompts[prompt] = (set(t), grams(t), grams(s), grams(q))
         return x
 
-    def pair(self, prompt: str, response: str, ws: list[str], masked: int) -> dict[int, float]:
+    def pair(self, prompt: str, response: str, ws: list[str], shown: list[str], masked: int) -> dict[int, float]:
         n = len(ws)
         core = response.strip()
         tail = core.rstrip(QUOTES)
@@ -177,6 +240,32 @@ class Extractor:
             near = [self.nearness(w) for w in split if len(w) > 3 and w not in BETWEEN]
             d[38] = sum(near) / len(near) if near else 0.0
             d[39] = 2.0 * (d[38] > 0.55)
+        short = len(core) < 120
+        said = shown[1:] if shown[:1] in (["answer"], ["label"]) else shown
+        rest = [w for w in said if w != "\0" and not w.isdigit() and w not in self.words and not (short and len(w) > 3 and self.nearness(w) > 0.55)]
+        if rest:
+            values = [self.english(w) for w in rest]
+            d[40] = sum(v > 0.3 for v in values) / len(rest)
+            d[41] = sum(v < -0.3 for v in values) / len(rest)
+            d[42] = 1 - d[40] - d[41]
+            d[43] = float(d[41] > 0)
+            d[44] = float(d[41] > 0 and d[40] < 0.4)
+            d[45] = float(min(values) > 0.3)
+            d[46] = 2.0 * (d[41] > 0.3)
+            d[47] = float(d[40] == 0)
+            closed = sum(w in OTHERS and self.english(w) < 0 for w in said)
+            bare = sum(w in OWN for w in rest)
+            if d[42] > 0 and sum(v > 0.3 for v in values) == bare:  # no English word but closed-class ones
+                d[53] = 1.0
+                d[54] = 2.0 * (bare > 0)
+            d[50] = 2.0 * (closed > 0)
+            d[51] = 2.0 * (closed > 0 and d[40] < 0.4)
+        else:
+            d[48] = 1.0
+        if said and (w := said[-1]) != "\0" and not ended and core[-1:].isalpha() and w in self.openings and w not in self.words and self.english(w) <= 0 and not any(w + e in self.tongue for e in ("s", "d", "r", "ed", "ing")) and not (short and self.nearness(w) > 0.55):
+            d[52] = 2.0  # breaks off inside a word
+        if any("\u00c0" <= c <= "\u024f" for w in shown for c in w):
+            d[49] = 1.0
         if masked and n <= masked + 4:
             d[17] = 1.0
         if "'" in core or "’" in core:
@@ -211,6 +300,8 @@ class Extractor:
         for w in chars:
             x = "^" + w + "$"
             grams_ += ["c" + x[i : i + 3] for i in range(len(x) - 2)]
+            if len(ws) < 20:
+                grams_ += ["d" + x[i : i + 4] for i in range(len(x) - 3)]
         return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "replace")) % WIDTH for g in grams_), np.int64, len(grams_)))
 
     def row(self, prompt: str, response: str, kept: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +315,7 @@ class Extractor:
             if (x := kept.get(key)) is not None:
                 return x
         h = self.hashed(shown)
-        d = self.pair(prompt, response, ws, masked)
+        d = self.pair(prompt, response, ws, shown, masked)
         idx = np.r_[h, np.fromiter(d, np.int64, len(d)) + WIDTH]
         val = np.r_[np.full(len(h), 1.5 / math.sqrt(max(1, len(h)))), np.fromiter(d.values(), float, len(d))]
         if key is not None:
@@ -256,7 +347,7 @@ class Rows:
         return out
 
 
-def fit(rows: Rows, y: np.ndarray, rng: np.random.Generator, epochs: int = 14, l2: float = 1e-6) -> np.ndarray:
+def fit(rows: Rows, y: np.ndarray, rng: np.random.Generator, epochs: int = 8, l2: float = 1e-6) -> np.ndarray:
     """Logistic regression by AdaGrad over shuffled blocks."""
     w, g2 = np.zeros(WIDTH + DENSE), np.full(WIDTH + DENSE, 1e-3)
     for _ in range(epochs):
@@ -295,10 +386,10 @@ def pick_gap(rng: np.random.Generator) -> str:
 
 def respell(x: str, rng: np.random.Generator) -> str:
     ws = [w.lower() for w in TOKEN.findall(CAMEL.sub(" ", x.replace("_", " ")))]
-    content = [w for w in ws if w not in BETWEEN and w not in ("fig", "grp", "kin", "civic", "trade")]
+    content = [w for w in ws if w not in BETWEEN]
     k = rng.integers(14)
-    if len(content) == 2:
-        a, b = content
+    if len(content) > 1:
+        a, b = content[-2:]
         x = [x, x, x, f"is the {a} of this {b}", f"{a} {['for', 'at', 'in'][int(rng.integers(3))]} the {b}", f"{a} of the {b}", f"{b} {a}", f"{b}'s {a}", f"{a}Of{b.title()}", f"is the {a} of this {b}", f"{a} ({b})", f"{b}s {a}s", f"{b}/{a}", f"{a.title()} At An {b.title()}"][k]
     for _ in range(int(rng.integers(4)) if rng.random() < 0.5 else 0):
         x = slip(x, rng)
@@ -306,81 +397,127 @@ def respell(x: str, rng: np.random.Generator) -> str:
     return x.upper() if rng.random() < 0.15 else x.title() if rng.random() < 0.15 else x
 
 
-def synthetic(prompts: list[str], labels: list[str], foreign: list[str], rng: np.random.Generator) -> list[tuple[str, str, str]]:
+def invented(parsed: list[Prompt], rng: np.random.Generator) -> str:
+    """A word made of pieces of names."""
+    names = [w for _ in range(3) for w in TOKEN.findall(" ".join(parsed[int(rng.integers(len(parsed)))].mentions).lower()) if len(w) > 3] or ["name"]
+    return "".join(names[int(rng.integers(len(names)))][: int(rng.integers(4, 8))] for _ in range(int(rng.integers(1, 4))))
+
+
+def scripts(tongue: dict[str, float]) -> list[list[str]]:
+    """The words of other languages by script, Latin first."""
+    by: dict[str, list[str]] = {"LATIN": []}
+    for w, v in tongue.items():
+        if v < -0.5:
+            by.setdefault(unicodedata.name(w[0], "?").split(" ")[0], []).append(w)
+    return [ws for ws in by.values() if len(ws) >= 20] or [["mot"]]
+
+
+def synthetic(prompts: list[str], labels: list[str], foreign: list[str], tongue: dict[str, float], rng: np.random.Generator) -> list[tuple[str, str, str]]:
     """(prompt, response, defect or "") made of sampled prompts: answers kept, swapped, truncated, copied, refused or put in another language."""
     out: list[tuple[str, str, str]] = []
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    chance = lambda p: rng.random() < p
     parsed = [Prompt(p) for p in prompts]
     single = [x for x in labels if len([w for w in TOKEN.findall(CAMEL.sub(" ", x.replace("_", " ")).lower()) if w not in BETWEEN]) == 1 or "relation" in x.lower()] or labels
+    english = [w for w, v in tongue.items() if v > 0.9 and len(w) > 2 and w not in VERBS and w not in NOUNS] or ["word"]
+    tongues, latin = scripts(tongue), [k for k in CLOSED if k != "en"]
+    some = lambda n, xs=english: [pick(xs) for _ in range(n)]
     for p in parsed:
         other, third = pick(parsed), pick(parsed)
         a, b = (p.mentions + ["the first", "the second"])[:2]
         s, o = p.sentence, other.sentence or "The end was near."
         ows = o.split()
         low = o[0].lower() + o[1:]
+        fill = lambda form, a=a, b=b, **kw: form.format(a=a, b=b, k=pick(THINGS), t=pick(TEXTS), **kw)
         add = lambda x, d="", p=p: out.append((p.text, x, d))
         full = o if o.rstrip(QUOTES)[-1:] in END else o + "."
+        # kept, or another answer than the right one
         for _ in range(8):
-            add(pick(WRAPS).format(x=respell(pick(single if rng.random() < 0.12 else labels), rng), s=full))
-        add(respell(pick(PLAIN), rng) if rng.random() < 0.3 else pick(PLAIN))
+            add(fill(pick(WRAPS), x=respell(pick(single if chance(0.12) else labels), rng), s=full if chance(0.6) else " ".join(some(2))))
+        for _ in range(4):
+            plain = some(int(rng.integers(1, 5)))
+            if chance(0.35):
+                plain = [pick(WITHOUT[:6] if chance(0.6) else WITHOUT), *plain[: pick([1, 1, 2, 3])]]
+            elif chance(0.5):
+                plain = [invented(parsed, rng), *some(int(rng.integers(0, 2)))]
+            x = pick([" ", " ", "_"]).join(plain)
+            x = f"{a} {x} {b}" if chance(0.15) else x
+            add(respell(x, rng) if chance(0.15) else x)
         ws = [w for w in TOKEN.findall(third.sentence.lower()) if len(w) > 3]
         if len(ws) > 4:
             k = int(rng.integers(len(ws) - 3))
-            add(pick([" ", "_"]).join(ws[k : k + int(rng.integers(1, 4))] + [pick(["with", "behind", "alongside", "against", "ahead", "tie", "bond", "link"])][: int(rng.integers(2))]))
-        k = int(rng.integers(3, max(4, len(ows) // 2 + 1)))
-        clause = " ".join(ows[-k:]).rstrip(".!?\"”")
-        add(f"{a} and {b} {pick(['both', 'once', 'together', 'later'])} {clause}, {pick(['and that is all they have in common', 'and nothing else is said of them', 'as far as the text says'])}.")
-        if rng.random() < 0.3:
-            add(pick(["None of the labels is stated, so other", "Probably no relation.", "I believe the two are rivals.", "They seem to be related.", f"{a} is the older of the two.", f"{b} knows {a} well."]))
-        if rng.random() < 0.3:
-            add(f"{a} {pick(PLAIN)} {b}")
+            add(pick([" ", "_"]).join(ws[k : k + int(rng.integers(1, 4))] + some(int(rng.integers(2)))))
+            clause = lambda xs=ows: " ".join(xs[-int(rng.integers(3, max(4, len(xs) // 2 + 1))) :]).rstrip(".!?\"”")
+            add(f"{a} and {b} {pick(english)} {clause()}, and {clause(third.sentence.split())}.")
+        if chance(0.2):
+            add(f"{a} {pick(WITHOUT)} {pick(english)} {b}.")
         # truncated
         x = pick(labels)
-        x = respell(x, rng) if rng.random() < 0.3 else x
+        x = respell(x, rng) if chance(0.3) else x
         m = re.search(r"[^\W_]+\W*\Z", x)
         word = re.split(CAMEL, m.group(0))[-1] if m else ""
         if len(word) >= 5:
             cut = x[: len(x) - int(rng.integers(3, max(4, len(word) - 1)))]
             cut = cut if re.search(r"[^\W_]{2}\Z", cut) else x[:-3]
-            add(pick(["{x}"] * 8 + ["Answer: {x}"]).format(x=cut.upper() if rng.random() < 0.1 else cut), "truncated")
+            add(pick(["{x}"] * 8 + ["Answer: {x}"]).format(x=cut.upper() if chance(0.1) else cut), "truncated")
         cut_at = lambda t: t[: int(rng.integers(max(1, len(t) // 8), max(2, len(t) - 8)))].rstrip(".!?,; ") if len(t) > 20 else t[:10]
-        x = pick(BROKEN).format(a=a, b=b, s=cut_at(low))
-        add(x if rng.random() < 0.6 or len(x) < 40 else x[: int(rng.integers(25, len(x)))].rstrip(), "truncated")
-        if rng.random() < 0.5:
-            add("<think>\n" + pick([f"The passage mentions {a} and {b}. ", "Let me look at the sentence. ", "The question asks for a label. "]) + cut_at(o), "truncated")
+        for _ in range(2):
+            x = fill((pick(LEADS) if chance(0.7) else "") + pick(CLAUSES), s=cut_at(low))
+            x = x[0].upper() + x[1:]
+            x = x if chance(0.5) or len(x) < 20 else x[: int(rng.integers(12, len(x)))].rstrip()
+            add("Answer: " + x if chance(0.15) else x, "truncated")
+        if (m := re.match(r"\w+ (is|are|was|were) (.+?)\W*\Z", p.question)) and chance(0.5):  # the question restated
+            x = f"{m.group(2)} {m.group(1)}"
+            add(x[0].upper() + x[1:] if chance(0.7) else fill(pick(LEADS)) + x, "truncated")
+        if chance(0.5):
+            add("<think>\n" + fill(pick(THOUGHTS), s=cut_at(o)), "truncated")
         # refused
         for _ in range(2):
-            x = pick(DENIALS)
+            x = pick(DENIALS).format(v=pick(VERBS), n=pick(NOUNS))
             opener = pick(OPENERS)
-            x = opener + (x if opener and not opener.endswith(". ") or rng.random() < 0.3 else x[0].upper() + x[1:]) + pick(OBJECTS) + pick(TAILS)
-            x = pick(["{x}"] * 6 + ["Answer: {x}", "<think>\nno\n</think>\n{x}"]).format(x=x)
-            add(x.upper() if rng.random() < 0.1 else x, "refusal")
+            x = opener + (x if opener or chance(0.3) else x[0].upper() + x[1:]) + ("" if chance(0.3) else fill(pick(OBJECTS))) + pick(TAILS)
+            x = fill(pick(["{x}"] * 6 + ["Answer: {x}", "<think>\n{s}\n</think>\n{x}", "<think>\nyes\n</think>\n{x}"]), x=x, s=full if chance(0.6) else " ".join(some(2)))
+            add(x.upper() if chance(0.1) else x, "refusal")
+        if chance(0.5):
+            x = pick(DENIALS).format(v=pick(VERBS), n=pick(NOUNS))
+            add((x[0].upper() + x[1:] if chance(0.5) else x) + pick(["", "", "."]), "refusal")
         # copied
         k = rng.integers(9)
         sw = s.split()
         if len(sw) >= 5:
             most = " ".join(sw[: max(4, int(len(sw) * rng.uniform(0.6, 0.95)))])
             x = [p.text, f'Sentence: "{s}"', s, s.lower(), re.sub(r"[^\w\s]", "", s), most + ".", most, "  " + s + "\n", p.text[: -len("Answer:")] if p.text.endswith("Answer:") else p.text][k]
-            add("Answer: " + x if rng.random() < 0.1 else x, "copy")
+            add("Answer: " + x if chance(0.1) else x, "copy")
         if p.question:
-            x = p.question if rng.random() < 0.7 else p.question.upper() if rng.random() < 0.5 else p.question.lower()
-            add("Answer: " + x if rng.random() < 0.3 else x, "copy")
+            x = p.question if chance(0.7) else p.question.upper() if chance(0.5) else p.question.lower()
+            add("Answer: " + x if chance(0.3) else x, "copy")
         # in another language
-        for _ in range(3):
-            opening, *ties = pick(FOREIGN[:10] if rng.random() < 0.5 else FOREIGN)
-            x = (opening if rng.random() < 0.25 else "") + pick(ties) if rng.random() < 0.6 or not foreign else pick(foreign)
-            if rng.random() < 0.3:
-                x = f"{a} {x} {b}" if rng.random() < 0.7 else f"{x} {b}"
-            x = x[0].upper() + x[1:] if rng.random() < 0.3 else x
-            add(("Answer: " if rng.random() < 0.1 else "") + x + pick(["", "", ".", "!"]), "language")
+        for _ in range(8):
+            words = tongues[0] if chance(0.7) else pick(tongues)
+            run = some(int(rng.integers(1, 4)), words)
+            if words is tongues[0] and chance(0.6):
+                c = CLOSED[pick(latin)]
+                c = [w for w in c if w in OWN] or c if chance(0.25) else c  # those that look like English ones
+                run = [*run[:1], pick(c)] if chance(0.4) else [*run[:1], pick(c), *run[1:]]
+            x = ("" if "぀" <= run[0][0] <= "鿿" else " ").join(run)
+            cognate = lambda: (w := pick(english if chance(0.5) else THINGS))[: max(3, len(w) - int(rng.integers(1, 4)))] + pick(tongues[0])[-int(rng.integers(1, 4)) :]
+            if words is tongues[0] and chance(0.15):
+                x = cognate() + " " + x
+            if chance(0.2):
+                c = CLOSED[pick(latin)]
+                lead = (cognate() if chance(0.7) else pick(THINGS)) if words is tongues[0] else pick(words)
+                x = (f"{pick(c)} {lead} {pick(c)}" if words is tongues[0] and chance(0.6) else lead) + pick([": ", " : "]) + x
+            if foreign and chance(0.3):
+                x = pick(foreign)
+            if chance(0.3):
+                x = f"{a} {x} {b}" if chance(0.7) else f"{x} {b}"
+            x = x[0].upper() + x[1:] if chance(0.3) else x
+            add(("Answer: " if chance(0.1) else "") + x + pick(["", "", ".", "!"]), "language")
     return out
 
 
-def snippets(texts: list[str], rng: np.random.Generator) -> list[str]:
-    """Short runs of words of texts that are not English."""
-    common = {
-        "en": "the and of that with was not".split(), "fr": "le les et dans une pour jamais après toujours".split(), "de": "der die das und nicht ein über neben".split(), "es": "el los una por siempre nunca después la".split(),
-    }
+def snippets(texts: list[str], tongue: dict[str, float], rng: np.random.Generator) -> list[str]:
+    """Short runs of words of texts that are not English: by their scripts, or as more of their words are other languages' than English ones."""
     out = []
     for t in texts:
         ws = TOKEN.findall(t)
@@ -389,30 +526,30 @@ def snippets(texts: list[str], rng: np.random.Generator) -> list[str]:
                 k = int(rng.integers(len(t) - 3))
                 out.append(t[k : k + int(rng.integers(4, 24))])
             continue
-        low = [w.lower() for w in ws]
-        hits = {k: sum(w in v for w in low) / len(low) for k, v in common.items()}
+        values = [tongue.get(w.lower(), 0.0) for w in ws]
         latin = sum(c < "Ͱ" for w in ws for c in w) > 0.6 * sum(map(len, ws))
-        if latin and (hits["en"] > 0.04 or max(hits[k] for k in ("fr", "de", "es")) < 0.06):
+        if latin and sum(v < -0.3 for v in values) <= sum(v > 0.3 for v in values):
             continue
         for _ in range(4):
             k = int(rng.integers(len(ws)))
-            out.append(" ".join(ws[k : k + int(rng.integers(3, 13))])[:160])
+            out.append(" ".join(ws[k : k + int(rng.integers(1, 13))])[:160])
     return [x for x in out if x.strip()]
 
 
 class Model:
-    def __init__(self, entries, weights: np.ndarray, cuts: np.ndarray):
-        self.entries, self.weights, self.cuts = entries, weights, cuts
+    def __init__(self, entries: list[tuple], tongue: dict[str, float], weights: np.ndarray, cuts: np.ndarray):
+        self.entries, self.tongue, self.weights, self.cuts = entries, tongue, weights, cuts
 
 
-def train(prompts: list[str], entries: list[tuple], texts: list[str], seed: int = 42) -> Model:
+def train(prompts: list[str], entries: list[tuple], texts: list[str], seed: int = 42, folder: str | None = None) -> Model:
     rng = np.random.default_rng(seed)
-    ex = Extractor(entries)
+    tongue = lexicons(folder or os.environ.get("QUERN_LEXICONS", LEXICONS))
+    ex = Extractor(entries, tongue)
     labels = [x for e in entries for x in (e[2], e[3]) if x] or ["part of the whole"]
-    pairs = synthetic(prompts, labels, snippets(texts, np.random.default_rng(seed)), rng) if prompts else []
+    pairs = synthetic(prompts, labels, snippets(texts, tongue, np.random.default_rng(seed)), tongue, rng) if prompts else []
     pairs = [p for p in pairs if not is_empty(p[1])]
     if not pairs:
-        return Model(entries, np.zeros((len(DEFECTS), WIDTH + DENSE)), np.full(len(DEFECTS), 1e9))
+        return Model(entries, tongue, np.zeros((len(DEFECTS), WIDTH + DENSE)), np.full(len(DEFECTS), 1e9))
     rows = Rows([ex.row(p, r) for p, r, _ in pairs])
     held = rng.random(rows.n) < 0.25
     a, b = rows.take(np.nonzero(~held)[0]), rows.take(np.nonzero(held)[0])
@@ -421,7 +558,7 @@ def train(prompts: list[str], entries: list[tuple], texts: list[str], seed: int
         y = np.array([p[2] == d for p in pairs], float)
         weights.append(w := fit(a, y[~held], rng))
         cuts.append(threshold(b.dot(w), y[held]))
-    return Model(entries, np.array(weights), np.array(cuts))
+    return Model(entries, tongue, np.array(weights), np.array(cuts))
 
 
 def predict(model: Model, ex: Extractor, prompts: list[str], responses: list[str], kept: dict) -> list[str | None]:
@@ -444,54 +581,64 @@ def predict(model: Model, ex: Extractor, prompts: list[str], responses: list[str
     return out
 
 
-def first_by_hash(df: DataFrame, key: str, value: str, n: int) -> list[str]:
-    """The values of the n rows whose keys hash lowest: a sample that doesn't depend on the order of rows.
+def first_by_hash(df: DataFrame, value: str, n: int) -> list[str]:
+    """The n distinct values, not null and not blank, that hash lowest: a sample that depends neither on the order of rows nor on their repetition.
 
-    Only rows below a cut that about 4 n of them pass are compared, so what the tasks send to the driver doesn't grow with their number.
+    Only values below a cut that about 4 n of them pass are compared, so what the tasks send to the driver doesn't grow with their number.
     """
-    d, h = df.where(F.col(value).isNotNull()), F.xxhash64(key)
-    share = min(1.0, (4 * n + 100) / max(1, df.count()))  # all rows are counted, which reads no column
+    d, h = df.select(value).where(F.trim(value) != ""), F.xxhash64(value)
+    share = min(1.0, (4 * n + 100) / max(1, d.agg(F.approx_count_distinct(h)).first()[0]))
     d = d.where(h <= int(share * 2**64) - 2**63 - 1) if share < 1 else d
-    rows = d.orderBy(h, key).select(value).limit(n).collect()
-    return sorted({r[0] for r in rows if r[0].strip()})
+    return sorted(r[0] for r in d.distinct().orderBy(h, value).limit(n).collect())
 
 
 def fit_tables(generation: DataFrame, entries: DataFrame, documents: DataFrame) -> Model:
     listed = [tuple(r) for r in entries.select("label_id", "dataset", "label", "display_name").where("label is not null and dataset is not null").limit(MAX_ENTRIES + 1).collect()]
     if len(listed) > MAX_ENTRIES:
         raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
-    prompts = first_by_hash(generation, "gen_id", "prompt_0_shot", SAMPLE_PROMPTS)
-    texts = first_by_hash(documents.where("lower(coalesce(lang, '')) not like 'en%' and lang <> ''"), "doc_id", "text", SAMPLE_TEXTS)
-    return train(prompts, listed, texts)
+    prompts = first_by_hash(generation, "prompt_0_shot", SAMPLE_PROMPTS)
+    texts = first_by_hash(documents.where("lower(coalesce(lang, '')) not like 'en%' and lang <> ''"), "text", SAMPLE_TEXTS)
+    return train(prompts, sorted(listed, key=str), texts)
+
+
+@functools.lru_cache(2)
+def extractor(entries: tuple, words: tuple) -> tuple[Extractor, dict]:
+    """The worker's extractor for these entries and words, and the rows it has kept: they serve its later tasks too."""
+    return Extractor(list(entries), dict(words)), {}
 
 
-def judge(generation: DataFrame, model: Model) -> DataFrame:
-    """generation (gen_id long, prompt_0_shot, generated_relation) -> (gen_id, defect) of the rows with a defect, at most one for each row.
+def judge(generation: DataFrame, model: Model, *carried: str) -> DataFrame:
+    """generation (gen_id long, prompt_0_shot, generated_relation) -> (gen_id, defect) of the rows with a defect, at most one for each row, with the columns to carry.
 
-    A null response is empty; a null or malformed prompt leaves the features of the pair at nothing; repeated rows are judged alike; further
-    columns are not carried; an empty table gives no rows.
+    A null response is empty; a null or malformed prompt leaves the features of the pair at nothing; repeated rows are judged alike; columns
+    not named are not carried; an empty table gives no rows.
     """
+    entries, words = tuple(model.entries), tuple(model.tongue.items())
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ex, kept = Extractor(model.entries), {}
+        ex, kept = extractor(entries, words)
         for pdf in batches:
             for k in range(0, len(pdf), 2000):
                 part = pdf.iloc[k : k + 2000]
                 d = predict(model, ex, part["prompt_0_shot"].tolist(), part["generated_relation"].tolist(), kept)
-                res = pd.DataFrame({"gen_id": part["gen_id"].to_numpy(), "defect": d})
+                res = part[["gen_id", *carried]].assign(defect=d)
                 yield res[res["defect"].notna()]
 
-    return generation.select("gen_id", "prompt_0_shot", "generated_relation").mapInPandas(found, "gen_id long, defect string")
+    columns = ["gen_id", *carried]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in generation.select(*columns).schema)
+    return generation.select(*columns, *[c for c in ("prompt_0_shot", "generated_relation") if c not in carried]).mapInPandas(found, kinds + ", defect string")
+
+
+def tables(spark: SparkSession, sf: str) -> tuple[DataFrame, Model]:
+    generation = read(spark, sf, "generation")
+    return generation, fit_tables(generation, read(spark, sf, "label_schema"), read(spark, sf, "documents"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of generation with a broken answer, and the defect."""
-    generation = read(spark, sf, "generation")
-    return judge(generation, fit_tables(generation, read(spark, sf, "label_schema"), read(spark, sf, "documents")))
+    return judge(*tables(spark, sf))
 
 
 def p3_by_model(spark: SparkSession, sf: str) -> DataFrame:
     """Defective rows by model and defect."""
-    generation = read(spark, sf, "generation")
-    found = judge(generation, fit_tables(generation, read(spark, sf, "label_schema"), read(spark, sf, "documents")))
-    return found.join(generation.select("gen_id", "model_id"), "gen_id").groupBy("model_id", "defect").agg(F.count("*").alias("n_rows"))
+    return judge(*tables(spark, sf), "model_id").groupBy("model_id", "defect").agg(F.count("*").alias("n_rows"))

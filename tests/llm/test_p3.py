@@ -23,8 +23,8 @@ def model():
 
 def test_held_out_accuracy(model):
     r = np.random.default_rng(9)
-    pairs = D.synthetic([prompt(r) for _ in range(100)], [e[2] for e in ENTRIES], [], r)
-    got = D.predict(model, D.Extractor(ENTRIES), [p for p, _, _ in pairs], [x for _, x, _ in pairs], {})
+    pairs = D.synthetic([prompt(r) for _ in range(100)], [e[2] for e in ENTRIES], [], model.tongue, r)
+    got = D.predict(model, D.Extractor(ENTRIES, model.tongue), [p for p, _, _ in pairs], [x for _, x, _ in pairs], {})
     for d in D.DEFECTS:
         hit = sum(g == d and w == d for g, (_, _, w) in zip(got, pairs))
         assert hit / max(1, sum(w == d for _, _, w in pairs)) > 0.93, d
@@ -40,7 +40,7 @@ def test_cases(model):
         "refusal": ["I'm sorry, but I cannot determine the relation.", "As an AI language model, I am unable to answer this."], "copy": [p, q.sentence, q.question], "language": ["verheiratet mit", "родился в", "为其工作", "La relation est : né à"],
     }
     for want, xs in cases.items():
-        assert D.predict(model, D.Extractor(ENTRIES), [p] * len(xs), xs, {}) == [want] * len(xs)
+        assert D.predict(model, D.Extractor(ENTRIES, model.tongue), [p] * len(xs), xs, {}) == [want] * len(xs)
 
 
 def test_threshold_and_rows():
@@ -58,6 +58,7 @@ def test_tables(spark, model):
     got = sorted(((x.gen_id, x.defect) for x in D.judge(df, model).collect()), key=str)
     assert [g for g in got if g[0] != 4 or g[1] == "empty"] == sorted([(1, "empty"), (2, "refusal"), (4, "empty"), (None, "empty")], key=str)
     assert D.judge(df.limit(0), model).count() == 0
+    assert D.judge(df.withColumnRenamed("defect", "x"), model, "x").columns == ["gen_id", "x", "defect"]
     entries = spark.createDataFrame(ENTRIES, "label_id long, dataset string, label string, display_name string")
     docs = spark.createDataFrame([(1, None, "fr"), (2, "x", None)], "doc_id long, text string, lang string")
     assert (D.fit_tables(df.limit(0), entries, docs).weights == 0).all()
@@ -72,8 +73,36 @@ def test_fit_sees_whole_texts_and_all_entries(spark, monkeypatch):
     text = "le chat dort " * 100 + "fin"
     D.fit_tables(g, entries, spark.createDataFrame([(1, text, "fr")], "doc_id long, text string, lang string"))
     assert seen[0][2] == [text] and len(seen[0][1]) == len(ENTRIES)
-    out = {x for k in range(40) for x in D.snippets(["".join(chr(0x4E00 + i) for i in range(300))], np.random.default_rng(k))}
+    out = {x for k in range(40) for x in D.snippets(["".join(chr(0x4E00 + i) for i in range(300))], {}, np.random.default_rng(k))}
     assert max(ord(x[0]) - 0x4E00 for x in out) > 150
     monkeypatch.setattr(D, "MAX_ENTRIES", 3)
     with pytest.raises(ValueError, match="more than 3"):
         D.fit_tables(g, entries, spark.createDataFrame([(1, text, "fr")], "doc_id long, text string, lang string"))
+
+
+def test_sample_is_of_distinct_values(spark):
+    """Null, blank and repeated values leave the sample as large as documented."""
+    rows = [(None,), ("  ",), ("",)] * 50 + [("hot",)] * 300 + [(f"p{k}",) for k in range(500)]
+    df = spark.createDataFrame(rows, "v string")
+    got = D.first_by_hash(df, "v", 20)
+    assert len(got) == len(set(got)) == 20 and got == D.first_by_hash(df.repartition(7), "v", 20)
+    assert len(D.first_by_hash(df, "v", 1000)) == 501
+
+
+def test_lists_hold_no_answer_of_the_tables():
+    """No phrase of two words or more of the lists that training texts are made of is an answer of the table."""
+    pd = pytest.importorskip("pandas")
+    try:
+        answers = pd.read_parquet("/root/testdata/sf0.01/generation.parquet", columns=["generated_relation"])["generated_relation"].dropna()
+    except FileNotFoundError:
+        pytest.skip("no tables")
+    bare = lambda x: " ".join(D.TOKEN.findall(x.lower()))
+    answers = {bare(x) for x in answers}
+    lists = [D.DENIALS, D.LEADS, D.CLAUSES, D.THOUGHTS, D.WITHOUT, D.TAILS, D.OBJECTS, D.OPENERS, D.VERBS, D.NOUNS]
+    assert not {x for xs in lists for x in map(bare, xs) if " " in x and x in answers}
+
+
+def test_words_of_languages(model):
+    t = model.tongue
+    assert all(t[w] > 0.3 for w in "married partners the with twin".split()) and all(t[w] < 0 for w in "nicht dla della für que".split())
+    assert D.inflects("neighbours", {"neighbor": 1.0, "neighbour": 0.9}) and D.inflects("gambles", {"gamble": 1.0}) and not D.inflects("mieszka", t)

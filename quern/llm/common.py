@@ -8,6 +8,7 @@ import sys
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.session import spread
 
@@ -17,6 +18,26 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf}/{table}.parquet"))
 
 
+HOT, MOST_HOT = 20_000, 1000  # rows of a key from which it may be split, and keys that are split at most
+
+
+def split_join(big: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """big joined with other on key, the rows of big of a hot key split among several tasks, those of other repeated for each.
+
+    A key is hot with more than HOT rows and more than one in MOST_HOT of all rows, so at most MOST_HOT keys, and no more, are broadcast.
+    big should be a stored table or cheap to read twice. Null keys join nothing. Every row counts, as in a plain join.
+    """
+    rest = [F.col(c) for c in big.columns if c != key]
+    least = max(HOT, big.count() // MOST_HOT)
+    hashed = F.xxhash64(key).alias("_h")
+    hot = big.where(F.col(key).isNotNull()).groupBy(hashed).agg(F.count("*").alias("_n")).where(F.col("_n") > least)
+    hot = F.broadcast(hot.select("_h", F.ceil(F.col("_n") / least).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    a = big.withColumn("_h", hashed).join(hot, "_h", "left").withColumn("_part", F.pmod(F.xxhash64(*rest), parts).cast("int") if rest else F.lit(0)).drop("_h", "_parts")
+    b = other.withColumn("_h", hashed).join(hot, "_h", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_h", "_parts")
+    return a.join(b, [key, "_part"], how).drop("_part")
+
+
 @functools.cache
 def char_class(prefixes: str) -> str:
     """Body of a character class for `re` with all code points whose general category starts with one of the letters given."""

@@ -14,7 +14,7 @@ QUERIES = {
         overlaps.p5_found, overlaps.p5_report,
         encoding.p6_ids,
         containers.p7_containers, containers.p7_fill,
-        lookalikes.p8_found, lookalikes.p8_forms,
+        lookalikes.p8_found, lookalikes.p8_forms, lookalikes.p8_classes,
     )
 }
 

@@ -10,7 +10,8 @@ a cosine of at least (1 - DIFFER) / (1 - DIFFER + DIFFER * SPAN).
 
 Postings are keyed by both mentions and the term, so rows of other mentions never meet; exact copies are one class each, joined once, and
 only the result brings their members back. Sides, words and classes are found by hash joins, with no broadcast that grows with the data:
-the frequent terms' table holds at most KINDS times the mean length, as each is in at least 1 / KINDS of the rows.
+the frequent terms' table holds at most KINDS times the mean length, as each is in at least 1 / KINDS of the rows. A list that holds very many
+postings (a mention pair of a third of all rows), and a class of very many copies, are split among tasks (common.split_join).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.session import materialise
 
-from .common import read
+from .common import read, split_join
 
 DIFFER, SPAN, KINDS = 0.2, 1.25, 500
 THRESHOLD = (1 - DIFFER) / (1 - DIFFER + DIFFER * SPAN)
@@ -122,7 +123,7 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = kept.withColumn("cls", F.md5(F.concat_ws("\x01", "pair", F.concat_ws(" ", "words")))).drop("text")
     kept = materialise(kept, "p5-rows")
     reps = kept.groupBy("cls").agg(F.first("pair").alias("pair"), F.first("words").alias("words"), F.count("*").alias("n"), F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("eval"))
-    return kept.select("id", "split", "dataset", "train", "cls"), reps
+    return kept.select("id", "split", "dataset", "train", "cls"), materialise(reps, "p5-classes")
 
 
 def frequent(reps: DataFrame) -> tuple[dict[str, int], int]:
@@ -155,7 +156,7 @@ def links(reps: DataFrame) -> DataFrame:
     side = lambda x: post.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "weight", "rest", "size")])
     a = side("a").where(post["train"])
     b = side("b").where(post["eval"])
-    met = a.join(b, "key").where("cls_a <> cls_b")
+    met = split_join(a, b, "key").where("cls_a <> cls_b")
     met = met.where(F.least("size_a", "size_b") >= (1 - DIFFER) * F.greatest("size_a", "size_b") - EPS)
     met = met.where(F.col("weight_a") * F.col("weight_b") + F.col("rest_a") * F.col("rest_b") >= THRESHOLD - EPS)
     met = met.select("cls_a", "cls_b").distinct()
@@ -196,10 +197,26 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     members, linked = overlaps(examples(spark, sf))
     a = members.where("train").select(F.col("cls").alias("cls_a"), F.col("id").alias("x"))
     b = members.where("not train").select(F.col("cls").alias("cls_b"), F.col("id").alias("y"))
-    pairs = linked.join(a, "cls_a").join(b, "cls_b")
+    pairs = split_join(b, split_join(a, linked, "cls_a"), "cls_b")
     return pairs.select(F.least("x", "y").alias("example_id_a"), F.greatest("x", "y").alias("example_id_b"))
 
 
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of source_example with the class of its copies and the number of its links: rows of the other side that are the same or almost. Makes no pairs.
+
+    Rows whose mentions are not on both sides, and rows that are no cases, have a null class and no links.
+    """
+    rows = examples(spark, sf)
+    members, linked = overlaps(rows)
+    linked = materialise(linked, "p5-links")
+    n = materialise(members.groupBy("cls").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_eval")), "p5-sizes")
+    side = lambda own, other, count: linked.join(n.select(F.col("cls").alias(other), F.col(count).alias("n")), other).groupBy(F.col(own).alias("cls")).agg(F.sum("n").alias("n"))
+    links = n.select("cls").join(side("cls_a", "cls_b", "n_eval").withColumnRenamed("n", "of_train"), "cls", "left").join(side("cls_b", "cls_a", "n_train").withColumnRenamed("n", "of_eval"), "cls", "left")
+    each = split_join(members.select("id", "train", "cls"), links, "cls")
+    each = each.select("id", F.col("cls").alias("class_id"), F.coalesce(F.when(F.col("train"), F.col("of_train")).otherwise(F.col("of_eval")), F.lit(0)).alias("n_links"))
+    return rows.select("id").join(each, "id", "left").select(F.col("id").alias("example_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     """Of each evaluation split and dataset: rows that recur in train rows, the train rows' dataset, and the pairs. Counted by class, without making the pairs."""
     members, linked = overlaps(examples(spark, sf))

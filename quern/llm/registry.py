@@ -11,7 +11,7 @@ QUERIES = {
         terms.p2_found, terms.p2_counts,
         defects.p3_found, defects.p3_by_model,
         pieces.p4_found, pieces.p4_pieces,
-        overlaps.p5_found, overlaps.p5_report,
+        overlaps.p5_found, overlaps.p5_report, overlaps.p5_classes,
         encoding.p6_ids,
         containers.p7_containers, containers.p7_fill,
         lookalikes.p8_found, lookalikes.p8_forms, lookalikes.p8_classes,

@@ -2,15 +2,17 @@
 
 Method: burst-trie counting. Each task routes the terms of its rows by their first characters into small containers, which burst into one
 container a further character when they hold more than BURST terms, and writes its compact trie: a row for each container. What the
-containers of all tasks hold below each prefix then decides how far terms are routed in the merge (prefixes with more than a bounded share
-of all entries are divided further), and matching subtrees of all tasks are merged, each route by one task.
+terms of all tasks' tries below each prefix then decide how far terms are routed in the merge (prefixes with more than a bounded share of all
+entries are divided further), and matching subtrees of all tasks are merged, each route by one task.
 
 A term held by a third of all rows is one entry of each task's trie, so there is no hot key; the routing table has at most MAX_ROUTES
-prefixes, whatever the input.
+prefixes, whatever the input. Terms that share REACH characters and are still too many for one route are divided by their hash, so a third
+of all terms below one long prefix is no hot route either.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +28,7 @@ BURST = 256  # terms in a container before it bursts
 HELD = 400_000  # terms in a task's trie before it is written and begun anew
 ROUTE_ENTRIES = 50_000  # entries of all tasks below a prefix before the merge divides it further
 MAX_ROUTES = 20_000  # prefixes in the routing table
+REACH = 8  # characters of the longest prefix
 RARE, COMMON_SHARE = 2, 100
 
 LEAF = "field string, prefix string, suffixes array<string>, occurrences array<long>, records array<long>"
@@ -112,14 +115,29 @@ def count_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield leaves(tries)
 
 
-def heavy_prefixes(blocks: DataFrame) -> set[tuple[str, str]]:
-    """Prefixes below which the tasks hold so many entries that the merge must divide them; at most MAX_ROUTES."""
+def heavy_prefixes(blocks: DataFrame) -> dict[tuple[str, str], int]:
+    """Prefixes below which the tasks hold so many entries that the merge must divide them, with the routes that the entries below fill; at most MAX_ROUTES."""
     n = F.size("suffixes").cast("long")
     total = blocks.agg(F.sum(n)).first()[0] or 0
-    least = max(ROUTE_ENTRIES, total * 8 // MAX_ROUTES)  # a term's entry counts for its prefix of each length; those of 8 characters are the longest used
-    ups = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(7))), lambda k: F.substring("prefix", F.lit(1), k)))
-    sums = blocks.select("field", ups.alias("p"), n.alias("n")).groupBy("field", "p").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    return {(r["field"], r["p"]) for r in sums.select("field", "p").limit(MAX_ROUTES + 1).collect()}
+    if total <= ROUTE_ENTRIES:
+        return {}
+    least = max(ROUTE_ENTRIES, total * (REACH + 1) // MAX_ROUTES)  # an entry counts for its prefix of each length
+    openings = F.explode(F.transform("suffixes", lambda s: F.left(F.concat("prefix", s), F.lit(REACH))))
+    by = blocks.select("field", openings.alias("p")).groupBy("field", "p").agg(F.count("*").alias("n"))
+    ups = F.explode(F.transform(F.sequence(F.lit(0), F.length("p")), lambda k: F.substring("p", F.lit(1), k)))
+    sums = by.select("field", ups.alias("p"), "n").groupBy("field", "p").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    return {(r["field"], r["p"]): -(-r["n"] // least) for r in sums.select("field", "p", "n").limit(MAX_ROUTES + 1).collect()}
+
+
+def route_of(field: str, term: str, heavy: dict[tuple[str, str], int]) -> str:
+    """The shortest prefix of the term that is not heavy; $: the term ends where the routes divide; #: the longest prefix is heavy too and divided by hash."""
+    k = 0
+    while k < len(term) and k < REACH and (field, term[:k]) in heavy:
+        k += 1
+    parts = heavy.get((field, term[:k]))
+    if parts is None:
+        return term[:k]
+    return term[:k] + (f"#{zlib.crc32(term.encode('utf-8', 'replace')) % parts}" if k == REACH and len(term) > k else "$")
 
 
 def term_counts(values: DataFrame) -> DataFrame:
@@ -140,10 +158,8 @@ def merge(blocks: DataFrame) -> DataFrame:
             out: dict[tuple[str, str], tuple[list, list, list]] = {}
             for f, p, ss, oo, rr in pdf.itertuples(index=False):
                 for s, o, r in zip(ss, oo, rr):
-                    term, k = p + s, 0
-                    while k < len(term) and k < 8 and (f, term[:k]) in heavy:
-                        k += 1
-                    to = term[:k] + ("$" if (f, term[:k]) in heavy else "")  # $: the term itself ends where the routes divide
+                    term = p + s
+                    to = route_of(f, term, heavy)
                     a, b, c = out.setdefault((f, to), ([], [], []))
                     a.append(term)
                     b.append(o)

@@ -46,3 +46,26 @@ def test_trie_bursts_and_keeps_counts():
     got = {p + s: tuple(c) for p, k in t.containers() for s, c in k.items()}
     assert got == {w: (2 * n, n) for w, n in want.items()}
     assert max(len(k) for _, k in t.containers()) <= T.BURST
+
+
+def test_hot_prefix_is_divided(spark, monkeypatch):
+    """A third of all terms share a long opening: their route is divided by hash, and the counts stay those of plain counting."""
+    from collections import Counter
+
+    monkeypatch.setattr(T, "ROUTE_ENTRIES", 30)
+    monkeypatch.setattr(T, "MAX_ROUTES", 10_000)
+    monkeypatch.setattr(T, "BURST", 4)
+    terms = [f"samelongopening{k}" for k in range(300)] + [f"{k}x{k % 7}" for k in range(600)] + ["samelongopening", "samelong", "s"]
+    rows = [("f", " ".join(terms[k::11] + terms[k % 5 :: 17])) for k in range(22)]
+    blocks = T.materialise(spark.createDataFrame(rows, "field string, value string").repartition(6).mapInPandas(T.count_block, T.LEAF), "t")
+    heavy = T.heavy_prefixes(blocks)
+    routes = {T.route_of("f", t, heavy) for t in terms}
+    assert sum("#" in r for r in routes) > 3 and ("f", "samelong") in heavy
+    size = Counter(T.route_of("f", t, heavy) for t in terms)
+    assert max(size.values()) < 200
+    got = {r.term: (r.occurrences, r.records) for r in T.merge(blocks).collect()}
+    occ, rec = Counter(), Counter()
+    for _, v in rows:
+        occ.update(v.split())
+        rec.update(set(v.split()))
+    assert got == {t: (occ[t], rec[t]) for t in occ}

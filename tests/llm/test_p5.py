@@ -75,3 +75,25 @@ def test_odd_rows(spark):
     extra = spark.createDataFrame([(*x, "z", 1) for x in rows], SCHEMA + ", words string, cls long")
     members, _ = overlaps(extra)
     assert members.count() == 5
+
+
+def test_hot_pair_and_classes(spark, monkeypatch, tmp_path):
+    """One mention pair and one text hold a third of all rows: lists and classes are split; links are those of brute force."""
+    from quern.llm import common
+    from quern.llm.overlaps import p5_classes, p5_found
+
+    monkeypatch.setattr(common, "HOT", 6)
+    r = random.Random(11)
+    hot = [("train" if k % 2 else "test", " ".join(r.choice(["red", "blue", "green"]) for _ in range(r.randint(4, 8)))) for k in range(40)]
+    hot += [("train", "one hot text of copies")] * 12 + [("validation", "one hot text of copies")] * 9
+    rows = [(k, s, "d", t, "A", "B") for k, (s, t) in enumerate(hot)]
+    rows += [(100 + k, r.choice(["train", "test"]), None, f"text number {k % 9} is here and stays so", f"E{k % 5}", "F") for k in range(60)] + [(900, "train", "d", None, "A", "B"), (901, "other", "d", "x", "A", "B")]
+    path = str(tmp_path / "source_example.parquet")
+    spark.createDataFrame(rows, SCHEMA.replace("id long", "example_id long")).write.parquet(path)
+    want = brute(rows)
+    assert sorted(tuple(x) for x in p5_found(spark, str(tmp_path)).collect()) == sorted((min(p), max(p)) for p in want)
+    got = {x.example_id: x for x in p5_classes(spark, str(tmp_path)).collect()}
+    assert set(got) == {x[0] for x in rows}
+    for i in got:
+        assert got[i].n_links == sum(i in p for p in want), i
+    assert got[900].class_id is None and len({got[k].class_id for k in range(40, 61)}) == 1

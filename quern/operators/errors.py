@@ -98,7 +98,7 @@ def examples(rows: DataFrame, per_model: int = 3, per_category: int = 20, seed:
     The windows rank groups of up to a dataset's errors; Spark keeps only the first rows of a group while it sorts (window group limit).
     """
     w = wrong(rows)
-    order = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ANALYSED])
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ANALYSED]))
     w = w.select("eval_dataset_name", "error_category", "relation", "generated_relation", "model_id", "tuned_dataset_name", "model_shot", "prompt_0_shot", order.alias("h"))
     a = F.row_number().over(Window.partitionBy("eval_dataset_name", "error_category", "model_id").orderBy("h"))
     w = w.withColumn("k", a).where(F.col("k") <= per_model)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import KEYS, NEGATIVES
@@ -114,3 +114,23 @@ def top_confused(c: DataFrame, k: int = 10, keys: list[str] = ("eval_dataset_nam
     pairs = c.where("gold <> pred").groupBy(*keys, "gold", "pred").agg(F.sum("n").alias("count"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "gold", "pred"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def cost(rows: DataFrame, rates: dict[str, tuple[float, float]], conditions: dict[str, int] = {"gen_constrained": 100, "gen_open": 50}, shots: tuple[int, ...] = (0, 2), key: str = "gen_id", first: int = 100, chars: int = 4, out: int = 10) -> DataFrame:
+    """Tokens and cost of asking each served model for every row under every condition and number of shots.
+
+    rates: dollars for a million input and output tokens, by model; conditions: tokens of the system prompt. A dataset's prompts are as long as
+    its first rows' are on average (a window that Spark cuts to `first` rows while it sorts), `chars` characters a token; an answer has `out`.
+    Null prompts have no length; a null dataset is one of its own.
+    """
+    lengths = [F.length(F.coalesce(f"prompt_{s}_shot", F.lit(""))).alias(f"l{s}") for s in shots]
+    g = rows.select("eval_dataset_name", key, *lengths)
+    n = g.groupBy("eval_dataset_name").agg(F.count("*").alias("n"))
+    some = g.withColumn("k", F.row_number().over(Window.partitionBy("eval_dataset_name").orderBy(key))).where(F.col("k") <= first)
+    t = some.groupBy(F.col("eval_dataset_name").alias("d")).agg(*[(F.avg(f"l{s}") / chars).alias(f"t{s}") for s in shots])
+    t = t.join(n, F.col("d").eqNullSafe(F.col("eval_dataset_name")))
+    one = sum((F.col(f"t{s}") + system for s in shots for system in conditions.values()), F.lit(0.0))
+    inp, outp = F.sum(one * F.col("n")), F.sum(out * len(shots) * len(conditions) * F.col("n"))
+    prices = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(a).alias("price_in"), F.lit(b).alias("price_out")) for k, (a, b) in rates.items()])).alias("p")
+    d = t.select("*", prices).select("*", "p.*")
+    return d.groupBy("model").agg(F.round(inp, 0).alias("input_tokens"), outp.alias("output_tokens"), F.round(inp / 1e6 * F.max("price_in") + outp / 1e6 * F.max("price_out"), 4).alias("cost"))

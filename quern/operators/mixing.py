@@ -127,9 +127,14 @@ def mixture(source: DataFrame, spec: MixSpec, shots: int | list[int], known: lis
     return d.select("example_id", "x.prompt", "relation", "dataset", F.concat("split", F.lit("_"), F.col("x.shot").cast("string")).alias("split"), "x.shot")
 
 
+MOST_SPLITS = 10_000  # of one table
+
+
 def merge_splits(parts: list[DataFrame]) -> DataFrame:
-    """Union of tables with a split column; raises if two have a split of the same name."""
-    names = [{r[0] for r in p.select("split").distinct().limit(1000).collect()} for p in parts]  # split names, a handful
+    """Union of tables with a split column; raises if two have a split of the same name, or if one has more than MOST_SPLITS."""
+    names = [{r[0] for r in p.select("split").distinct().limit(MOST_SPLITS + 1).collect()} for p in parts]
+    if any(len(n) > MOST_SPLITS for n in names):
+        raise ValueError(f"a table has more than {MOST_SPLITS} splits")
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
             if a & b:

@@ -223,6 +223,32 @@ def frontier_states(generation: DataFrame, frontier: DataFrame, config: tuple[st
     return a.join(b, ["eval_dataset_name", "prompt_hash"]).groupBy(F.col("model_id").alias("comparison"), "eval_dataset_name", *STATE).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
 
 
+def served_states(generation: DataFrame, frontier: DataFrame, comparisons: list[Comparison], negatives: list[str] = NEGATIVES["n3"]) -> DataFrame:
+    """Joint states of several tuned configurations, each with the served models it is compared with, on the prompts both have: comparison, eval_dataset_name, states, n.
+
+    Both sides are counted by hash and state before they are joined, all configurations in one pass. A comparison without rows has none here.
+    """
+    norm = T.NORMALIZERS["n3"]
+    ind = lambda s: [x.alias(f"{n}_{s}") for x, n in zip(indicators(norm(F.col("relation")), norm(F.col("generated_relation")), negatives), ("tp", "fp", "fn"))]
+    own = ["model_id", "tuned_dataset_name", "model_shot"]
+    a = keep_configs(primary(generation.where(F.col("eval_dataset_name").isNotNull())), list(dict.fromkeys(c.a for c in comparisons)))
+    a = a.select("eval_dataset_name", *own, T.prompt_hash(F.col("prompt_0_shot")).alias("prompt_hash"), *ind("a")).groupBy("eval_dataset_name", "prompt_hash", *own, *STATE[:3]).agg(F.count("*").alias("na"))
+    b = frontier.where((F.col("gen_type") == "gen_constrained") & F.col("model_id").isin([c.b[0] for c in comparisons])).select("eval_dataset_name", "prompt_hash", F.col("model_id").alias("served"), *ind("b")).groupBy("eval_dataset_name", "prompt_hash", "served", *STATE[3:]).agg(F.count("*").alias("nb"))
+    name = F.lit(None).cast("string")
+    for c in comparisons:
+        m, r, k = c.a
+        same = (F.col("model_id") == m) & (F.col("tuned_dataset_name") == r) & (F.col("model_shot") == k) & (F.col("served") == c.b[0])
+        name = F.when(same & F.col("eval_dataset_name").isin(datasets_of(c.domain)), c.name).otherwise(name)
+    j = a.join(b, ["eval_dataset_name", "prompt_hash"]).withColumn("comparison", name).where(F.col("comparison").isNotNull())
+    return j.groupBy("comparison", "eval_dataset_name", *STATE).agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+
+
+def listed_first(df: DataFrame, names: list[str], column: str = "comparison") -> DataFrame:
+    """A row for each of the names, in their order, those without rows in df with nulls."""
+    rows = df.sparkSession.createDataFrame(list(enumerate(names)), f"place int, {column} string")
+    return rows.join(df, column, "left")
+
+
 def hit_rate(generation: DataFrame, frontier: DataFrame, config: tuple[str, str, int]) -> DataFrame:
     """Joined rows for a row of the served model, by model and dataset (may exceed 1: many to many), with the mean over datasets."""
     joined = frontier_states(generation, frontier, config).groupBy(F.col("comparison").alias("model_id"), "eval_dataset_name").agg(F.sum("n").alias("joined"))

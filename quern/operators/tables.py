@@ -178,6 +178,15 @@ def transfer_table(cross: DataFrame, own: DataFrame) -> DataFrame:
     return a.join(b, key, "left").select(*key, F.when(general, "General").otherwise("Literary").alias("in_domain"), F.round("i", 4).alias("in_domain_avg_f1"), F.when(general, "Literary").otherwise("General").alias("cross_domain"), F.round("c", 4).alias("cross_domain_avg_f1"), F.round(F.col("c") - F.col("i"), 4).alias("delta_f1"))
 
 
+def in_and_cross(metrics: DataFrame) -> DataFrame:
+    """Means in the domain of each configuration that has any there, with those off it, null if there are none. One aggregate for both sides."""
+    key = ["model_id", "tuned_dataset_name", "model_shot", "prompt_shot"]
+    own = F.col("tuned_dataset_name").isin(list(CROSS)) & ~is_cross() & F.col("eval_dataset_name").isin(DATASETS)
+    mean = lambda cond: F.round(F.avg(F.when(cond, F.col("micro_f1"))), 4)
+    d = metrics.where(F.col("gen_type") == CONSTRAINED).groupBy(*key)
+    return d.agg(mean(own).alias("in_domain_avg_f1"), F.count_if(own).alias("n_in_domain"), mean(is_cross()).alias("cross_domain_avg_f1")).where("n_in_domain > 0").select(*key, "in_domain_avg_f1", "n_in_domain", "cross_domain_avg_f1")
+
+
 def transfer_summary(table: DataFrame) -> DataFrame:
     return table.groupBy("tuned_dataset_name").agg(F.round(F.avg("in_domain_avg_f1"), 4).alias("avg_in_domain_f1"), F.round(F.avg("cross_domain_avg_f1"), 4).alias("avg_cross_domain_f1"), F.round(F.avg("delta_f1"), 4).alias("avg_delta"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.config import KEYS, NEGATIVES, PARAMS, PRICES, REGIMES, SCALE
+from quern.config import KEYS, NEGATIVES, PARAMS, REGIMES, SCALE, SERVED
 from quern.operators import cube as C
 from quern.operators import errors as E
 from quern.operators import metrics as M
@@ -153,7 +153,10 @@ def agg_a32_value_counts(spark, sf):
     return E.category_shares(busy(spark, sf))
 
 
-@query()
+SAMPLE_KEY = "md5('42|' || " + " || '|' || ".join(f"coalesce({c}::varchar, '')" for c in E.ANALYSED) + ")"
+
+
+@query(f"{W}{WRONG}, h as (select *, {SAMPLE_KEY} as h from wr_), k1 as (select * from h qualify row_number() over (partition by eval_dataset_name, error_category, model_id order by h) <= 3), k2 as (select * from k1 qualify row_number() over (partition by eval_dataset_name, error_category order by h) <= 20) select eval_dataset_name as dataset, error_category, relation as gold_relation, generated_relation as predicted_relation, model_id, {REGIME} as tuning_regime, model_shot || '-shot' as prompt_style, left({SENT}, 300) as text_snippet from (select *, coalesce(prompt_0_shot, 'nan') as p from k2)")
 def tab_r17_error_examples(spark, sf):
     return E.examples(generation(spark, sf))
 
@@ -207,22 +210,14 @@ def agg_a28_summary_means(spark, sf):
     return means(evaluated(spark, sf))
 
 
-COST = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in PRICES.items())
+RATES = {m: (1.0, 4.0) for m in SERVED}  # an example, dollars for a million input and output tokens: pass your own
+COST = ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in RATES.items())
+TOKENS = "sum((2 * t0 + 2 * t2 + 300) * n)"  # both conditions (100 and 50 tokens of system prompt) with both shots
 
 
-@query(f"with f as (select eval_dataset_name, prompt_0_shot, prompt_2_shot, gen_id, row_number() over (partition by eval_dataset_name order by gen_id) as k from generation), a as (select eval_dataset_name, count(*) as n, avg(case when k <= 100 then length(coalesce(prompt_0_shot, '')) end) / 4 as t0, avg(case when k <= 100 then length(coalesce(prompt_2_shot, '')) end) / 4 as t2 from f group by all), p(model, price_in, price_out) as (values {COST}) select model, round(sum((t0 + 100 + t2 + 100) * n), 0) as input_tokens, sum(20 * n)::bigint as output_tokens, round(sum((t0 + 100 + t2 + 100) * n) / 1e6 * max(price_in) + sum(20 * n) / 1e6 * max(price_out), 4) as cost from a cross join p group by model")
+@query(f"with f as (select eval_dataset_name, prompt_0_shot, prompt_2_shot, gen_id, row_number() over (partition by eval_dataset_name order by gen_id) as k from generation), a as (select eval_dataset_name, count(*) as n, avg(case when k <= 100 then length(coalesce(prompt_0_shot, '')) end) / 4 as t0, avg(case when k <= 100 then length(coalesce(prompt_2_shot, '')) end) / 4 as t2 from f group by all), p(model, price_in, price_out) as (values {COST}) select model, round({TOKENS}, 0) as input_tokens, sum(40 * n)::bigint as output_tokens, round({TOKENS} / 1e6 * max(price_in) + sum(40 * n) / 1e6 * max(price_out), 4) as cost from a cross join p group by model")
 def agg_a29_cost_estimate(spark, sf):
-    from pyspark.sql import Window
-
-    g = generation(spark, sf).select("eval_dataset_name", "gen_id", *[F.length(F.coalesce(f"prompt_{s}_shot", F.lit(""))).alias(f"l{s}") for s in (0, 2)])
-    n = g.groupBy("eval_dataset_name").agg(F.count("*").alias("n"))
-    first = g.withColumn("k", F.row_number().over(Window.partitionBy("eval_dataset_name").orderBy("gen_id"))).where("k <= 100")
-    t = first.groupBy("eval_dataset_name").agg((F.avg("l0") / 4).alias("t0"), (F.avg("l2") / 4).alias("t2")).join(n, "eval_dataset_name")
-    prices = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), F.lit(a).alias("price_in"), F.lit(b).alias("price_out")) for k, (a, b) in PRICES.items()])).alias("p")
-    inp = F.sum((F.col("t0") + 100 + F.col("t2") + 100) * F.col("n"))
-    out = F.sum(20 * F.col("n"))
-    d = t.select("*", prices).select("*", "p.*")
-    return d.groupBy("model").agg(F.round(inp, 0).alias("input_tokens"), out.alias("output_tokens"), F.round(inp / 1e6 * F.max("price_in") + out / 1e6 * F.max("price_out"), 4).alias("cost"))
+    return M.cost(generation(spark, sf), RATES)
 
 
 def variant_sql(v: str) -> str:

@@ -10,7 +10,9 @@ from quern.operators import merging as G
 from quern.operators import mixing as X
 from quern.operators import tokens as N
 from quern.operators.cube import drop_duplicates
-from quern.plans.base import DS, SENT, busy, generation, line, listed, normal, query, read, strip
+from quern.plans.base import DS, SENT, SQL, busy, generation, line, listed, normal, query, read, strip
+from quern.session import fresh
+from quern.sources.writers import is_done, mark_done, replace_table
 
 B = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 ANSWER = lambda x: strip(f"regexp_replace({x}, '(?i)^answer\\s*:\\s*', '')")
@@ -163,18 +165,47 @@ def text_t10_build_chat_text(spark, sf):
     return busy(spark, sf, "source_example").select("example_id", T.chat_text(F.lit("Name the relation."), T.unravel(F.col("prompt_2_shot"))).alias("chat"))
 
 
-@query()
+WSS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]"
+
+
+def span_sql(text: str, mention: str, n: str) -> str:
+    """Select items <n>_b and <n>_e: where the mention stands in the text."""
+    loose = f"array_to_string(list_transform(list_filter(regexp_split_to_array({n}_m, '{WSS}+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '{WSS}*')"
+    found = f"regexp_extract({text}, {loose})"
+    return (
+        f"{strip(f'coalesce({mention}, {chr(39) * 2})')} as {n}_m, instr({text}, {n}_m) as {n}_at, case when {n}_m <> '' and {n}_at = 0 then {found} else '' end as {n}_f, "
+        f"case when {n}_m = '' then -1 when {n}_at > 0 then {n}_at - 1 when {n}_f <> '' then instr({text}, {n}_f) - 1 else -1 end as {n}_b, "
+        f"case when {n}_m = '' then -1 when {n}_at > 0 then {n}_at - 1 + length({n}_m) when {n}_f <> '' then instr({text}, {n}_f) - 1 + length({n}_f) else -1 end as {n}_e"
+    )
+
+
+@query(f"select example_id, a_b::int as \"begin\", a_e::int as \"end\" from (select example_id, {span_sql('text', 'entity1', 'a')} from source_example where text is not null and entity1 is not null)")
 def text_t11_find_span(spark, sf):
     s = T.find_span(F.col("text"), F.col("entity1"))
     return busy(spark, sf, "source_example").where("text is not null and entity1 is not null").select("example_id", s["begin"].alias("begin"), s["end"].alias("end"))
 
 
-@query()
+OPEN_TAG = lambda tag, t: f"case when coalesce({t}, '') in ('', 'None') then '[{tag}]' else '[{tag}] ' || {t} || ' :' end"
+
+
+def _inline(p, po, pt, q, qo, qt):
+    cut = lambda i, j: f"substr(s, {i} + 1, {j} - {i})"
+    return f"{cut('0', p + '_b')} || ' ' || {po} || ' ' || {cut(p + '_b', p + '_e')} || ' [/{pt}] ' || {cut(p + '_e', q + '_b')} || ' ' || {qo} || ' ' || {cut(q + '_b', q + '_e')} || ' [/{qt}] ' || {cut(q + '_e', 'length(s)')}"
+
+
+MARKED = (
+    f"with t as (select example_id, coalesce(text, 'None') as s, entity1, entity2, {OPEN_TAG('E1', 'entity1type')} as o1, {OPEN_TAG('E2', 'entity2type')} as o2 from source_example), "
+    f"x as (select *, {span_sql('s', 'entity1', 'a')}, {span_sql('s', 'entity2', 'b')} from t) "
+    f"select example_id, case when a_b < 0 or b_b < 0 or not (a_e <= b_b or b_e <= a_b) then s || ' ' || o1 || ' ' || coalesce(entity1, 'None') || ' [/E1] ' || o2 || ' ' || coalesce(entity2, 'None') || ' [/E2]' "
+    f"when a_b < b_b then {_inline('a', 'o1', 'E1', 'b', 'o2', 'E2')} else {_inline('b', 'o2', 'E2', 'a', 'o1', 'E1')} end as marked from x"
+)
+
+
+@query(MARKED)
 def text_t12_mark_entities(spark, sf):
     return busy(spark, sf, "source_example").select("example_id", T.mark_entities(*[F.col(c) for c in ("text", "entity1", "entity2", "entity1type", "entity2type")]).alias("marked"))
 
 
-
 @query(f"select example_id, {SENT} as sentence from (select example_id, prompt_0_shot as p from source_example)")
 def text_t13_extract_sentence(spark, sf):
     return busy(spark, sf, "source_example").select("example_id", T.extract_sentence(F.col("prompt_0_shot")).alias("sentence"))
@@ -254,11 +285,11 @@ def set_o08_merge_shards(spark, sf):
     return G.merged(G.merge_shards([early, late], EXAMPLE_COLUMNS, strict=True), EXAMPLE_COLUMNS, dedup=True)
 
 
-@query(f"select example_id, case split when 'train' then 'train_0' when 'validation' then 'eval_0' when 'test' then 'test_0' end as split from source_example where split in ('train', 'validation', 'test')")
+@query(f"select example_id, case split when 'train' then 'train_' || s when 'validation' then 'eval_' || s else 'test_' || s end as split from (select example_id, split, case when dataset in ({listed(LITERARY)}) then 2 else 0 end as s from source_example where dataset in ({listed(DS)}) and split in ('train', 'validation', 'test'))")
 def set_o09_merge_splits(spark, sf):
-    d = X.mixture(source(spark, sf), MIXTURES["gentune"], 0).select("example_id", "split")
-    e = X.mixture(source(spark, sf), MIXTURES["littune"], 0).select("example_id", "split")
-    return d.unionAll(e)
+    general = X.mixture(source(spark, sf), MIXTURES["gentune"], 0).select("example_id", "split")
+    literary = X.mixture(source(spark, sf), MIXTURES["littune"], 2).select("example_id", "split")
+    return X.merge_splits([general, literary])
 
 
 SPLICED = "(model_id = 'SmolLM3-3B' and tuned_dataset_name = 're_mixtune' and model_shot = 0)"
@@ -271,12 +302,24 @@ def set_o10_splice(spark, sf):
     return G.splice(g, g.withColumn("generated_relation", T.postprocess_think(F.col("generated_relation"))), ("SmolLM3-3B", "re_mixtune", 0))
 
 
+@query(SQL["set_o10_splice"].replace("gen_id, eval_dataset_name, model_id, tuned_dataset_name, model_shot, case when", "gen_id, model_id, tuned_dataset_name, model_shot, case when"))
+def set_o10_splice_in_place(spark, sf):
+    """The table is written, its rows of one configuration are replaced in place, and the first table is kept as a backup."""
+    at = f"{fresh(spark, 'splice')}/generations"
+    c = ["gen_id", "model_id", "tuned_dataset_name", "model_shot", "generated_relation"]
+    generation(spark, sf).select(*c).write.parquet(at)
+    for _ in range(2):  # doing it again changes nothing
+        g = spark.read.parquet(at)
+        replace_table(G.splice(g, g.withColumn("generated_relation", T.postprocess_think(F.col("generated_relation"))), ("SmolLM3-3B", "re_mixtune", 0)), at)
+    return spark.read.parquet(at)
+
+
 HASH = lambda key, seed=SEED: f"md5('{seed}:' || {key})"
 
 
-@query(f"select example_id, dataset, row_number() over (order by {HASH('example_id')}, example_id) as place from source_example qualify place <= 100")
+@query(f"select example_id, dataset, row_number() over (order by {HASH('example_id')}, example_id) as place from source_example")
 def set_o11_shuffle(spark, sf):
-    return X.places(source(spark, sf).select("example_id", "dataset"), SEED)  # all rows; the SQL has the first hundred places
+    return X.places(source(spark, sf).select("example_id", "dataset"), SEED)
 
 
 @query(f"select example_id, dataset from source_example qualify row_number() over (partition by dataset order by {HASH('example_id')}, example_id) <= 200")
@@ -345,11 +388,11 @@ def set_o21_group_texts(spark, sf):
 MASK_IDS = f"select example_id, len({TOK('prompt_0_shot')}) as p, list_transform({TOK('prompt_0_shot')} || {TOK('relation')}, lambda w: length(w)) as ids from source_example"
 
 
-@query(f"with m as ({MASK_IDS}) select example_id, array_to_string((list_transform(range(least(p, len(ids))), lambda i: -100) || ids[p + 1 :])[1:64], ' ') as labels from m")
+@query(f"with m as ({MASK_IDS}) select example_id, array_to_string((list_transform(range(least(p, len(ids))), lambda i: -100) || ids[p + 1 :])[1:{MAX_LENGTH}], ' ') as labels from m")
 def set_o22_label_mask(spark, sf):
     p, a = N.words(F.col("prompt_0_shot")), N.words(F.col("relation"))
     ids = F.transform(F.concat(p, a), F.length)
-    labels = N.label_mask(ids, F.size(p), MAX_LENGTH)  # the SQL cuts at 64
+    labels = N.label_mask(ids, F.size(p), MAX_LENGTH)
     return source(spark, sf).select("example_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), " ").alias("labels"))
 
 
@@ -367,12 +410,12 @@ def tab_r20_first_per_prompt(spark, sf):
     return N.first_per_prompt(generation(spark, sf))
 
 
-TRUNC = f"with {FIRST}, l as (select eval_dataset_name as dataset, '0-shot' as condition, len({TOK('prompt_0_shot')}) as p, len({TOK('relation')}) as r from first_ union all select eval_dataset_name, '2-shot', len({TOK('prompt_2_shot')}), len({TOK('relation')}) from first_), s as (select dataset, condition, count(*) as n_examples, trunc(quantile_cont(p, 0.5))::int as infer_median, trunc(quantile_cont(p, 0.95))::int as infer_p95, max(p)::int as infer_max, trunc(quantile_cont(p + r, 0.5))::int as train_median, trunc(quantile_cont(p + r, 0.95))::int as train_p95, max(p + r)::int as train_max, round(100 * avg(case when p + r > 128 then 1.0 else 0.0 end), 3) as pct_train_trunc, round(100 * avg(case when p >= 128 and p + r > 128 then 1.0 else 0.0 end), 3) as pct_train_label_cut from l group by all)"
+TRUNC = f"with {FIRST}, l as (select eval_dataset_name as dataset, '0-shot' as condition, len({TOK('prompt_0_shot')}) as p, len({TOK('relation')}) as r from first_ union all select eval_dataset_name, '2-shot', len({TOK('prompt_2_shot')}), len({TOK('relation')}) from first_), s as (select dataset, condition, count(*) as n_examples, trunc(quantile_cont(p, 0.5))::int as infer_median, trunc(quantile_cont(p, 0.95))::int as infer_p95, max(p)::int as infer_max, trunc(quantile_cont(p + r, 0.5))::int as train_median, trunc(quantile_cont(p + r, 0.95))::int as train_p95, max(p + r)::int as train_max, round(100 * avg(case when p + r > {MAX_LENGTH} then 1.0 else 0.0 end), 3) as pct_train_trunc, round(100 * avg(case when p >= {MAX_LENGTH} and p + r > {MAX_LENGTH} then 1.0 else 0.0 end), 3) as pct_train_label_cut from l group by all)"
 
 
 @query(f"{TRUNC} select * from s")
 def tab_r19_truncation_stats(spark, sf):
-    return N.truncation(N.first_per_prompt(generation(spark, sf)), MAX_LENGTH)  # the SQL counts from 128 on
+    return N.truncation(N.first_per_prompt(generation(spark, sf)), MAX_LENGTH)
 
 
 @query(f"{TRUNC} select dataset, max(train_max) as train_max, max(pct_train_trunc) as pct_train_trunc, max(infer_max) as infer_max from s group by all")
@@ -396,11 +439,42 @@ def agg_a33_latency_mean(spark, sf):
 # joins and grids
 
 
-@query("select s.example_id from source_example s where s.split = 'test' and not exists (select 1 from generation g where g.eval_dataset_name = s.dataset and left(md5(coalesce(g.prompt_0_shot, 'nan')), 12) = left(md5(coalesce(s.prompt_0_shot, 'nan')), 12))")
+RUN = {"model_id": "SmolLM3-3B", "tuned_dataset_name": "re_mixtune", "model_shot": 2, "prompt_shot": 2, "gen_type": "gen_open"}
+OF_RUN = " and ".join(f"g.{c} = {v!r}" for c, v in RUN.items())
+LEFT = f"select s.example_id from source_example s where s.split = 'test' and s.dataset in ({{datasets}}) and not exists (select 1 from generation g where {OF_RUN} and g.eval_dataset_name = s.dataset and left(md5(coalesce(g.prompt_0_shot, 'nan')), 12) = left(md5(coalesce(s.prompt_0_shot, 'nan')), 12))"
+
+
+def of_run(spark, sf):
+    d = generation(spark, sf)
+    for c, v in RUN.items():
+        d = d.where(F.col(c) == v)
+    return d
+
+
+def test_prompts(spark, sf, datasets=DATASETS):
+    d = source(spark, sf).where((F.col("split") == "test") & F.col("dataset").isin(datasets))
+    return d.select("example_id", F.col("dataset").alias("eval_dataset_name"), T.prompt_hash(F.col("prompt_0_shot")).alias("prompt_hash"))
+
+
+@query(LEFT.format(datasets=listed(DS)))
 def join_j10_anti_completed(spark, sf):
-    h = T.prompt_hash(F.col("prompt_0_shot")).alias("prompt_hash")
-    todo = source(spark, sf).where("split = 'test'").select("example_id", F.col("dataset").alias("eval_dataset_name"), h)
-    return G.remaining(todo, generation(spark, sf).select("eval_dataset_name", h), ["eval_dataset_name", "prompt_hash"]).select("example_id")
+    """The test prompts that one configuration has not answered yet."""
+    done = of_run(spark, sf).select("eval_dataset_name", T.prompt_hash(F.col("prompt_0_shot")).alias("prompt_hash"))
+    return G.remaining(test_prompts(spark, sf), done, ["eval_dataset_name", "prompt_hash"]).select("example_id")
+
+
+@query(LEFT.format(datasets=listed(d for d in DS if d not in ("tacred", "rebel"))))
+def udf_u05_resume(spark, sf):
+    """What a run has left to do: datasets whose folder has the marker of completion are passed over, prompts answered elsewhere too."""
+    at = fresh(spark, "runs")
+    answers = of_run(spark, sf).select("eval_dataset_name", "prompt_0_shot", "generated_relation").where(F.col("eval_dataset_name").isin(DATASETS))
+    answers.write.partitionBy("eval_dataset_name").parquet(at)
+    place = lambda d: f"{at}/eval_dataset_name={d}"
+    for d in ("tacred", "rebel"):
+        mark_done(spark, place(d))
+    todo = test_prompts(spark, sf, [d for d in DATASETS if not is_done(spark, place(d))])
+    done = spark.read.schema(answers.schema).parquet(at).select("eval_dataset_name", T.prompt_hash(F.col("prompt_0_shot")).alias("prompt_hash"))
+    return G.remaining(todo, done, ["eval_dataset_name", "prompt_hash"]).select("example_id")
 
 
 GROUPED = " or ".join(f"(tuned_dataset_name = '{r}'" + (")" if ds == "all" else f" and eval_dataset_name in ({listed(ds)}))") for r, ds in GROUPS.items())
@@ -432,9 +506,10 @@ def join_j09_semi_allowed(spark, sf):
     return generation(spark, sf).select("gen_id", "eval_dataset_name", "generated_relation").join(lab, ["eval_dataset_name", "generated_relation"], "left").select("gen_id", "eval_dataset_name", F.coalesce("v", F.lit(False)).alias("valid"))
 
 
-@query()
+@query(f"select doc_id, array_to_string(list_transform({TOK('text')}, lambda w: length(w)), ' ') as ids from documents")
 def udf_u02_batched_tokenise(spark, sf):
-    return N.tokenise(read(spark, sf, "documents"), "text", "doc_id", lambda xs: [[len(w) for w in x.split()] for x in xs])
+    d = N.tokenise(read(spark, sf, "documents"), "text", "doc_id", lambda xs: [[len(w) for w in x.split()] for x in xs])
+    return d.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query("with p as (select distinct probe_id, prompt_0_shot from probe_prompt union select distinct gen_id, prompt_0_shot from generation) select probe_id as id, case least(2, length(coalesce(prompt_0_shot, '')) // 300) when 0 then 'short' when 1 then 'medium' else 'long' end as generated_relation from p")

@@ -72,9 +72,20 @@ def src_s06_partition_discovery(spark, sf):
     return spark.read.parquet(_by_dataset(spark, sf)).select("eval_dataset_name", "relation")
 
 
-@query("select shard_file, try_cast(nullif(regexp_extract(shard_file, 'generations_shard_(\\d+)', 1), '') as integer) as worker, count(*) as n from generation group by all")
+@query("select 'generations_shard_' || lpad(k::varchar, 3, '0') as shard, k::int as worker, count(g.gen_id) as n from range(4) r(k) left join generation g on g.gen_id % 4 = k group by all")
 def src_s07_discover_shards(spark, sf):
-    return generation(spark, sf).groupBy("shard_file").agg(F.count("*").alias("n")).withColumn("worker", I.shard_number(F.col("shard_file")))
+    """Shards are written as files of one folder, found by their names and read with their number."""
+    at = folder(spark)
+    g = generation(spark, sf).select("gen_id", F.pmod("gen_id", F.lit(4)).cast("int").alias("k"))
+    for k in range(4):
+        g.where(F.col("k") == k).select("gen_id").write.parquet(f"{at}/generations_shard_{k:03d}.parquet")
+    g.limit(0).write.parquet(f"{at}/other.parquet")
+    found = I.shards(spark, at, "parquet")
+    parts = [spark.read.parquet(p).agg(F.count("*").alias("n")).select(F.lit(p).alias("p"), "n") for p in found]  # a row for each shard
+    d = parts[0]
+    for x in parts[1:]:
+        d = d.unionAll(x)
+    return d.select(F.regexp_extract("p", r"(generations_shard_\d+)", 1).alias("shard"), I.shard_number(F.col("p")).alias("worker"), "n")
 
 
 @query("select eval_dataset_name, nullif(relation, '') as relation, model_shot from generation union all select eval_dataset_name, nullif(relation, ''), model_shot from generation where model_shot = 2")

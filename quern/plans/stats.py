@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.config import ANOMALIES, COMPARISONS, FAMILY, KEYS, NEGATIVES, REGIMES, SHOTS
+from quern.config import ANOMALIES, COMPARISONS, FAMILY, KEYS, NEGATIVES, REGIMES, SHOTS, TABLE, key_comparisons, served_comparisons
 from quern.operators import cube as C
 from quern.operators import metrics as M
 from quern.operators import stats as S
@@ -41,13 +41,14 @@ def stat_b04_bootstrap_domain_avg(spark, sf):
     return S.domain_ci(hits(spark, sf))
 
 
-def _takes(side):
-    return " union all ".join(f"select '{c.name}' as comparison, d.* from dd_ d where model_id = '{x[0]}' and tuned_dataset_name = '{x[1]}' and model_shot = {x[2]} and eval_dataset_name in ({listed(S.datasets_of(c.domain))})" for c in COMPARISONS for x in [getattr(c, side)])
+def _takes(side, comparisons=COMPARISONS):
+    return " union all ".join(f"select '{c.name}' as comparison, d.* from dd_ d where model_id = '{x[0]}' and tuned_dataset_name = '{x[1]}' and model_shot = {x[2]} and eval_dataset_name in ({listed(S.datasets_of(c.domain))})" for c in comparisons for x in [getattr(c, side)])
 
 
 OCC = "row_number() over (partition by comparison, eval_dataset_name, prompt_hash order by relation nulls first) as occ"
-ALIGNED = f"with {ALWAYS}, a as (select comparison, eval_dataset_name, prompt_hash, {OCC}, {normal('relation', 'gold_a')}, {normal('generated_relation', 'pred_a')} from ({_takes('a')})), b as (select comparison, eval_dataset_name, prompt_hash, {OCC}, {normal('relation', 'gold_b')}, {normal('generated_relation', 'pred_b')} from ({_takes('b')})), pair_ as (select comparison, eval_dataset_name, prompt_hash, occ, gold_a, pred_a, gold_b, pred_b from a join b using (comparison, eval_dataset_name, prompt_hash, occ))"
-TABLE = f"{ALIGNED}, t as (select comparison, count(*) as n_examples, count(*) filter (gold_a = pred_a and gold_a = pred_b) as n11, count(*) filter (gold_a <> pred_a and gold_a <> pred_b) as n00, count(*) filter (gold_a = pred_a and gold_a <> pred_b) as n10, count(*) filter (gold_a <> pred_a and gold_a = pred_b) as n01 from pair_ group by all)"
+aligned_sql = lambda cs: f"with {ALWAYS}, a as (select comparison, eval_dataset_name, prompt_hash, {OCC}, {normal('relation', 'gold_a')}, {normal('generated_relation', 'pred_a')} from ({_takes('a', cs)})), b as (select comparison, eval_dataset_name, prompt_hash, {OCC}, {normal('relation', 'gold_b')}, {normal('generated_relation', 'pred_b')} from ({_takes('b', cs)})), pair_ as (select comparison, eval_dataset_name, prompt_hash, occ, gold_a, pred_a, gold_b, pred_b from a join b using (comparison, eval_dataset_name, prompt_hash, occ))"
+ALIGNED = aligned_sql(COMPARISONS)
+COUNTED = f"{ALIGNED}, t as (select comparison, count(*) as n_examples, count(*) filter (gold_a = pred_a and gold_a = pred_b) as n11, count(*) filter (gold_a <> pred_a and gold_a <> pred_b) as n00, count(*) filter (gold_a = pred_a and gold_a <> pred_b) as n10, count(*) filter (gold_a <> pred_a and gold_a = pred_b) as n01 from pair_ group by all)"
 
 
 @query(f"{ALIGNED} select * from pair_")
@@ -55,7 +56,7 @@ def join_j01_align_by_hash(spark, sf):
     return S.aligned(generation(spark, sf)).select("comparison", "eval_dataset_name", "prompt_hash", "occ", "gold_a", "pred_a", "gold_b", "pred_b")
 
 
-@query(f"{TABLE} select comparison, n_examples, n11, n00, n10, n01, round(case when n10 + n01 > 0 then (abs(n10 - n01) - 1) ** 2 / (n10 + n01)::double else 0.0 end, 4) as mcnemar_chi2, round(case when n01 > 0 then n10 / n01::double end, 4) as odds_ratio from t")
+@query(f"{COUNTED} select comparison, n_examples, n11, n00, n10, n01, round(case when n10 + n01 > 0 then (abs(n10 - n01) - 1) ** 2 / (n10 + n01)::double else 0.0 end, 4) as mcnemar_chi2, round(case when n01 > 0 then n10 / n01::double end, 4) as odds_ratio from t")
 def stat_b03_mcnemar(spark, sf):
     return S.mcnemar(S.contingency(S.aligned(generation(spark, sf))))
 
@@ -65,11 +66,22 @@ def stat_b02_paired_bootstrap(spark, sf):
     return S.paired(S.contingency(S.aligned(generation(spark, sf))))
 
 
-@query(f"{TABLE} select comparison, round((n10 - n01) / n_examples::double, 6) as delta_f1, round((n11 + n10) / n_examples::double, 4) as f1_a, round((n11 + n01) / n_examples::double, 4) as f1_b from t")
+NAMES = [c.name for c in key_comparisons()]
+
+
+@query(f"{COUNTED}, k as (select * from (values {', '.join(f'({i}, {chr(39)}{n}{chr(39)})' for i, n in enumerate(NAMES))}) v(place, comparison)) select place, comparison, n_examples::double as n_examples, round((n10 - n01) / n_examples::double, 6) as delta_f1, round((n11 + n10) / n_examples::double, 4) as f1_a, round((n11 + n01) / n_examples::double, 4) as f1_b, case when n_examples is null then 'N/A' else round((n10 - n01) / n_examples::double, 6)::varchar end as reported from k left join t using (comparison)")
 def stat_b10_key_comparisons(spark, sf):
-    t = S.contingency(S.aligned(generation(spark, sf)))
+    t = S.listed_first(S.contingency(S.aligned(generation(spark, sf))), NAMES)
     n = F.col("n_examples")
-    return t.select("comparison", F.round((F.col("n10") - F.col("n01")) / n, 6).alias("delta_f1"), F.round((F.col("n11") + F.col("n10")) / n, 4).alias("f1_a"), F.round((F.col("n11") + F.col("n01")) / n, 4).alias("f1_b"))
+    delta = F.round((F.col("n10") - F.col("n01")) / n, 6)
+    return t.select("place", "comparison", n.cast("double").alias("n_examples"), delta.alias("delta_f1"), F.round((F.col("n11") + F.col("n10")) / n, 4).alias("f1_a"), F.round((F.col("n11") + F.col("n01")) / n, 4).alias("f1_b"), F.coalesce(delta.cast("string"), F.lit("N/A")).alias("reported"))
+
+
+@query()
+def stat_b10_significance(spark, sf):
+    """All key comparisons with interval, p-value and stars, those without rows as N/A."""
+    t = S.listed_first(S.paired(S.contingency(S.aligned(generation(spark, sf)))), NAMES)
+    return t.withColumn("stars", F.coalesce("stars", F.lit("N/A")))
 
 
 @query("select x::double as p, case when x < 0.001 then '***' when x < 0.01 then '**' when x < 0.05 then '*' else 'n.s.' end as stars from (values (0.0), (0.0005), (0.001), (0.005), (0.01), (0.03), (0.05), (0.5), (1.0)) v(x)")
@@ -93,6 +105,16 @@ def stat_b05_paired_clustered(spark, sf):
     return S.clustered(S.joint_states(S.aligned(generation(spark, sf), normalizer="n2")))
 
 
+@query(f"{aligned_sql(TABLE)} select comparison, eval_dataset_name, {_ind('gold_a', 'pred_a', 'a')}, {_ind('gold_b', 'pred_b', 'b')}, count(*) as n from pair_ group by all")
+def stat_b10_table_states(spark, sf):
+    return S.joint_states(S.aligned(generation(spark, sf), TABLE))
+
+
+@query()
+def stat_b10_table_clustered(spark, sf):
+    return S.clustered(S.joint_states(S.aligned(generation(spark, sf), TABLE, normalizer="n2")))
+
+
 NORM3 = lambda c: f"coalesce({line(c)}, 'nan')"
 A = f"a as (select eval_dataset_name, left(md5(coalesce(prompt_0_shot, 'nan')), 12) as prompt_hash, {NORM3('relation')} as ga, {NORM3('generated_relation')} as pa from generation where {PRIMARY} and {is_config([LARGE])})"
 FB = f"b as (select eval_dataset_name, prompt_hash, model_id, {NORM3('relation')} as gb, {NORM3('generated_relation')} as pb from frontier_generation where gen_type = 'gen_constrained' and model_id is not null)"
@@ -110,9 +132,24 @@ def agg_a14_join_hit_rate(spark, sf):
     return S.hit_rate(generation(spark, sf), read(spark, sf, "frontier_generation"), LARGE)
 
 
+def _served(c):
+    m, r, k = c.a
+    a = f"select eval_dataset_name, left(md5(coalesce(prompt_0_shot, 'nan')), 12) as prompt_hash, {NORM3('relation')} as ga, {NORM3('generated_relation')} as pa from generation where {PRIMARY} and {is_config([c.a])} and eval_dataset_name in ({listed(S.datasets_of(c.domain))})"
+    b = f"select eval_dataset_name, prompt_hash, {NORM3('relation')} as gb, {NORM3('generated_relation')} as pb from frontier_generation where gen_type = 'gen_constrained' and model_id = '{c.b[0]}'"
+    return f"select '{c.name}' as comparison, a.eval_dataset_name, {IND3('ga', 'pa', 'a')}, {IND3('gb', 'pb', 'b')}, count(*) as n from ({a}) a join ({b}) b on a.eval_dataset_name = b.eval_dataset_name and a.prompt_hash = b.prompt_hash group by all"
+
+
+@query(" union all ".join(map(_served, served_comparisons())))
+def stat_b06_served_states(spark, sf):
+    return S.served_states(generation(spark, sf), read(spark, sf, "frontier_generation"), served_comparisons())
+
+
 @query()
 def stat_b06_frontier_paired(spark, sf):
-    return S.clustered(S.frontier_states(generation(spark, sf), read(spark, sf, "frontier_generation"), LARGE))
+    """Six comparisons: three tuned configurations with two served models."""
+    cs = served_comparisons()
+    d = S.clustered(S.served_states(generation(spark, sf), read(spark, sf, "frontier_generation"), cs))
+    return S.listed_first(d, [c.name for c in cs])
 
 
 @query(f"{FAM} select family, {REGIME} as regime, count(*) as n_pairs, round(avg(delta), 6) as delta from fp group by family, tuned_dataset_name")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.config import ANOMALIES, CROSS, FAMILY, FAMILY_PAIRS, GENERAL, KEYS, LITERARY, MODELS, PARAMS, REGIMES, SCALE, SHORT, SHOTS
+from quern.config import ANOMALIES, CROSS, FAMILY, FAMILY_PAIRS, GENERAL, KEYS, LITERARY, MODELS, PARAMS, REGIMES, SCALE, SERVED, SHORT, SHOTS
 from quern.operators import cube as C
 from quern.operators import metrics as M
 from quern.operators import tables as R
 from quern.plans.base import DOMAIN, DS, IN_GEN, IN_LIT, METRICS, PRIM, REGIME, is_config, listed, metrics_sql, query, read
 from quern.plans.metrics import case, evaluated
+from quern.session import fresh
 
 W = f"with {METRICS}, {PRIM}"
 AVG = lambda cond, x="micro_f1": f"avg(case when {cond} then {x} end)"
@@ -119,10 +120,12 @@ def tab_r10_frontier_table(spark, sf):
     return R.frontier_table(frontier(spark, sf))
 
 
-@query()
+@query(f"{FRONT} select eval_dataset_name, {', '.join(f'round(max(case when model_id = {Q}{m}{Q} then micro_f1 end), 4) as {chr(34)}{m}{chr(34)}' for m in SERVED)} from metrics_ group by all")
 def tab_r11_frontier_pivot(spark, sf):
-    models = [r[0] for r in read(spark, sf, "frontier_generation").where("model_id is not null").select("model_id").distinct().orderBy("model_id").limit(100).collect()]  # the served models, a handful
-    return R.frontier_pivot(frontier(spark, sf), models)
+    from quern.sources.writers import gathered
+
+    models = [r[0] for r in gathered(read(spark, sf, "frontier_generation").where("model_id is not null").select("model_id").distinct())]  # a column for each
+    return R.frontier_pivot(frontier(spark, sf), sorted(models))
 
 
 CROSS_SQL = "(" + " or ".join(f"(tuned_dataset_name = '{r}' and eval_dataset_name in ({listed(ds)}))" for r, ds in CROSS.items()) + ")"
@@ -137,10 +140,13 @@ def tab_r12_transfer_table(spark, sf):
     return R.transfer_table(m, m)
 
 
-@query(f"{TRANSFER} select * from transfer_")
+OWN = f"{W}, o as (select {CK}, avg(micro_f1) as i, count(*) as n from metrics_ where gen_type = 'gen_constrained' and {OWN_SQL} group by all), x as (select {CK}, avg(micro_f1) as c from metrics_ where gen_type = 'gen_constrained' and {CROSS_SQL} group by all)"
+
+
+@query(f"{OWN} select {CK}, round(i, 4) as in_domain_avg_f1, n as n_in_domain, round(c, 4) as cross_domain_avg_f1 from o left join x using ({CK})")
 def join_j06_in_vs_cross(spark, sf):
-    m = evaluated(spark, sf)
-    return R.transfer_table(m, m)
+    """All configurations of a regime with a domain of its own, with their means off it where they have any."""
+    return R.in_and_cross(evaluated(spark, sf))
 
 
 @query(f"{TRANSFER} select tuned_dataset_name, round(avg(in_domain_avg_f1), 4) as avg_in_domain_f1, round(avg(cross_domain_avg_f1), 4) as avg_cross_domain_f1, round(avg(delta_f1), 4) as avg_delta from transfer_ group by all")
@@ -304,8 +310,28 @@ def src_s12_best_flags(spark, sf):
     return d.where("overall_avg is not null").select("config", "overall_avg", F.col("best_overall_avg").alias("best"))
 
 
-@query()
+COLUMNS_TEX = [*DS, "general_avg", "literary_avg", "overall_avg"]
+TEX = " || ' & ' || ".join(f"case when {c} is null then '--' when {c} = max({c}) over () then '\\textbf{{' || printf('%.3f', round({c}, 3)) || '}}' else printf('%.3f', round({c}, 3)) end" for c in COLUMNS_TEX)
+
+
+@query(f"{MATRIX} select config, model || ' & ' || regime || ' & ' || shot || ' & ' || {TEX} || ' \\\\' as line from matrix_")
 def src_s12_latex_rows(spark, sf):
     from quern.sources.writers import latex_rows
 
     return latex_rows(R.results_matrix(evaluated(spark, sf)))
+
+
+PAGE = "<html><script>const data = __DATA__;</script></html>"
+
+
+@query(f"{MATRIX} select 30 as n_configs, count(overall_avg) as n_filled, round(max(overall_avg), 4) as best from matrix_")
+def src_s13_write_page(spark, sf):
+    """The page is written, its JSON read back."""
+    from quern.sources.writers import read_text, write_page
+
+    at = f"{fresh(spark, 'page')}/index.html"
+    write_page(R.dashboard(evaluated(spark, sf)), PAGE, at, spark)
+    body = F.regexp_extract(F.lit(read_text(spark, at)), r"const data = (.*);</script>", 1)
+    rows = F.from_json(F.get_json_object(body, "$.matrix"), "array<struct<config: string, overall_avg: double>>")
+    d = spark.range(1).select(F.explode(rows).alias("x")).select("x.*")
+    return d.agg(F.count("*").cast("int").alias("n_configs"), F.count("overall_avg").alias("n_filled"), F.round(F.max("overall_avg"), 4).alias("best"))

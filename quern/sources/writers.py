@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import DATASETS
@@ -27,6 +27,55 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool
     (w.option("header", True).option("escape", chr(34)).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False) if fmt == "csv" else w).save(path)
 
 
+DONE = "_DONE"  # the marker in the folder of a result that is complete
+
+
+def files(spark: SparkSession, path: str):
+    """The path and the file system that the session uses for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def mark_done(spark: SparkSession, folder: str) -> None:
+    """Put the marker of completion into a folder; marking twice changes nothing."""
+    at, fs = files(spark, f"{folder.rstrip('/')}/{DONE}")
+    fs.create(at, True).close()
+
+
+def is_done(spark: SparkSession, folder: str) -> bool:
+    at, fs = files(spark, f"{folder.rstrip('/')}/{DONE}")
+    return fs.exists(at)
+
+
+def replace_table(df: DataFrame, path: str, backup: str = ".bak") -> None:
+    """Put a new Parquet table in the place of one that df may read: written beside it, then swapped in by renaming. The first table replaced stays as a backup; later ones don't."""
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    new, old, kept = f"{path}.new", path, f"{path}{backup}"
+    df.write.mode("overwrite").parquet(new)
+    at, fs = files(spark, old)
+    spare = files(spark, kept)[0]
+    gone = spare if not fs.exists(spare) else files(spark, f"{path}.old")[0]
+    if not fs.rename(at, gone):
+        raise OSError(f"{old} cannot be renamed")
+    if not fs.rename(files(spark, new)[0], at):
+        fs.rename(gone, at)
+        raise OSError(f"{new} cannot be renamed")
+    if gone is not spare:
+        fs.delete(gone, True)
+
+
+MOST_ROWS = 10_000  # of a table that is made on the driver
+
+
+def gathered(df: DataFrame, most: int = MOST_ROWS) -> list:
+    """All rows of a small table; raises if there are more."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
 def best_flags(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """The table with best_<column>: whether a value is the column's largest."""
     most = matrix.agg(*[F.max(c).alias(c) for c in columns]).first()  # one row
@@ -46,8 +95,9 @@ def latex_rows(matrix: DataFrame, columns: list[str] = (*DATASETS, "general_avg"
 
 
 def write_latex(matrix: DataFrame, path: str) -> None:
-    """The LaTeX table, with a rule between models. The matrix has thirty rows."""
-    rows = latex_rows(matrix).join(matrix.select("config", "model"), "config").orderBy("config").limit(1000).collect()
+    """The LaTeX table, with a rule between models. The matrix has thirty rows; one of more than MOST_ROWS raises."""
+    rows = latex_rows(matrix).join(matrix.select("config", "model"), "config").orderBy("config")
+    rows = gathered(rows)
     lines = [r"\begin{tabular}{lll" + "r" * (len(DATASETS) + 3) + "}", r"\toprule"]
     for k, r in enumerate(rows):
         if k and r["model"] != rows[k - 1]["model"]:
@@ -56,10 +106,22 @@ def write_latex(matrix: DataFrame, path: str) -> None:
     Path(path).write_text("\n".join([*lines, r"\bottomrule", r"\end{tabular}", ""]), encoding="utf-8")
 
 
-def write_page(payload: DataFrame, template: str, path: str, mark: str = "__DATA__") -> None:
-    """A page whose placeholder is replaced by the one row of JSON columns; raises if the template has none."""
+def write_page(payload: DataFrame, template: str, path: str, spark: SparkSession | None = None, mark: str = "__DATA__") -> None:
+    """A page whose placeholder is replaced by the one row of JSON columns; raises if the template has none. With a session the path may be of any of its file systems."""
     if mark not in template:
         raise ValueError(f"the template has no {mark}")
     row = payload.first()
     body = "{" + ", ".join(f'"{k}": {row[k]}' for k in payload.columns) + "}"
-    Path(path).write_text(template.replace(mark, body), encoding="utf-8")
+    page = template.replace(mark, body)
+    if spark is None:
+        Path(path).write_text(page, encoding="utf-8")
+        return
+    at, fs = files(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(page.encode("utf-8")))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file of any of the session's file systems."""
+    return spark.read.text(path, wholetext=True).first()[0]

@@ -118,3 +118,13 @@ def test_top_confused(spark):
 def test_metric_plans_have_no_python(spark):
     plan = M.evaluate(spark.createDataFrame(rows(20), SCHEMA).select(*KEYS, "relation", "generated_relation"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_cost(spark):
+    """Each condition and number of shots is asked for: prompt tokens by characters, system prompt, answers."""
+    rows = [(k, "d1", "x" * 400, "x" * 800) for k in range(10)] + [(100 + k, "d2", None, "y" * 40) for k in range(5)]
+    d = spark.createDataFrame(rows, "gen_id long, eval_dataset_name string, prompt_0_shot string, prompt_2_shot string")
+    got = M.cost(d, {"m": (2.0, 10.0)}).collect()[0]
+    inp = 10 * (2 * 100 + 2 * 200 + 300) + 5 * (2 * 0 + 2 * 10 + 300)
+    assert got.input_tokens == inp and got.output_tokens == 40 * 15 and got.cost == round(inp / 1e6 * 2 + 600 / 1e6 * 10, 4)
+    assert M.cost(d, {"m": (2.0, 10.0)}, {"gen_open": 50}, (0,)).collect()[0].input_tokens == 10 * 150 + 5 * 50

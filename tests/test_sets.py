@@ -145,3 +145,50 @@ def test_means_of_rounded_cells(spark):
     assert [r.y for r in df.select(R.row_mean(["a", "b", "c"]).alias("y")).collect()] == [0.2533, None, 0.2]
     d = spark.createDataFrame([(0.02,), (-0.02,), (0.0,), (None,)], "x double")
     assert [r.y for r in d.select(R.direction(F.col("x")).alias("y")).collect()] == ["IMPROVED", "DEGRADED", "~same", None]
+
+
+def test_splits_and_rows_beyond_a_bound_raise(spark, monkeypatch):
+    """A table with more splits, or a driver's table with more rows, than the bound is an error, never cut."""
+    from quern.sources import writers as O
+
+    monkeypatch.setattr(X, "MOST_SPLITS", 5)
+    many = spark.range(7).select(F.concat(F.lit("s"), "id").alias("split"))
+    with pytest.raises(ValueError, match="more than 5"):
+        X.merge_splits([many, many.where("split = 's0'")])
+    assert len(O.gathered(spark.range(101), 101)) == 101
+    with pytest.raises(ValueError, match="more than 100"):
+        O.gathered(spark.range(101), 100)
+
+
+def metrics(spark):
+    """Metrics with rows of either regime in and off its domain."""
+    rows = []
+    for k, (m, r) in enumerate([("m1", "re_gentune"), ("m2", "re_gentune"), ("m1", "re_littune"), ("m3", "re_mixtune")]):
+        for i, d in enumerate(["tacred", "rebel", "biographical", "pg_fiction"]):
+            if not (m == "m2" and i > 1):
+                rows.append((d, m, r, 2, 2, "gen_constrained", (k + 1) / 10 + i / 100))
+                rows.append((d, m, r, 2, 2, "gen_open", 0.9))
+    return spark.createDataFrame(rows, "eval_dataset_name string, model_id string, tuned_dataset_name string, model_shot int, prompt_shot int, gen_type string, micro_f1 double")
+
+
+def test_transfer_between_domains(spark):
+    d = metrics(spark)
+    assert {(r.tuned_dataset_name, r.eval_dataset_name) for r in R.cross_only(d).collect()} == {("re_gentune", "biographical"), ("re_gentune", "pg_fiction"), ("re_littune", "tacred"), ("re_littune", "rebel")}
+    t = {(r.model_id, r.tuned_dataset_name): r for r in R.transfer_table(d, d).collect()}
+    assert set(t) == {("m1", "re_gentune"), ("m1", "re_littune")}  # m2 has no row off its domain, a mixed model no domain of its own
+    g, lit = t["m1", "re_gentune"], t["m1", "re_littune"]
+    assert (g.in_domain, g.cross_domain, g.in_domain_avg_f1, g.cross_domain_avg_f1, g.delta_f1) == ("General", "Literary", 0.105, 0.125, 0.02)
+    assert (lit.in_domain, lit.in_domain_avg_f1, lit.cross_domain_avg_f1, lit.delta_f1) == ("Literary", 0.325, 0.305, -0.02)
+    s = {r.tuned_dataset_name: r.avg_delta for r in R.transfer_summary(R.transfer_table(d, d)).collect()}
+    assert s == {"re_gentune": 0.02, "re_littune": -0.02}
+    both = {(r.model_id, r.tuned_dataset_name): (r.in_domain_avg_f1, r.n_in_domain, r.cross_domain_avg_f1) for r in R.in_and_cross(d).collect()}
+    assert both == {("m1", "re_gentune"): (0.105, 2, 0.125), ("m2", "re_gentune"): (0.205, 2, None), ("m1", "re_littune"): (0.325, 2, 0.305)}
+    assert R.transfer_table(d.limit(0), d).count() == 0 and R.in_and_cross(d.limit(0)).count() == 0
+
+
+def test_remaining(spark):
+    """What is done, even by many rows of a hot key, is not left to do; null keys are never done."""
+    todo = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "x"), (4, "b", "x"), (4, "b", "x")], "id long, d string, h string")
+    done = spark.createDataFrame([("a", "x")] * 50 + [(None, "x")], "d string, h string")
+    assert ids(G.remaining(todo, done, ["d", "h"]), "id") == [2, 3, 4, 4]
+    assert G.remaining(todo, done.limit(0), ["d", "h"]).count() == 5

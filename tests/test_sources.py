@@ -103,3 +103,44 @@ def test_stream_keeps_late_rows(spark, tmp_path):
     (tmp_path / "sink" / "_spark_metadata").mkdir(parents=True)
     with pytest.raises(ValueError, match="file sink"):
         ingest.append_new(ingest.stream(spark, at + "/in", given.schema), at + "/sink", at + "/other")
+
+
+def test_marker_of_completion(spark, tmp_path):
+    from quern.sources import writers as O
+
+    at = str(tmp_path / "run")
+    spark.range(3).write.parquet(at)
+    assert not O.is_done(spark, at)
+    O.mark_done(spark, at)
+    O.mark_done(spark, at + "/")
+    assert O.is_done(spark, at) and spark.read.parquet(at).count() == 3  # readers pass the marker over
+
+
+def test_table_is_replaced_in_place(spark, tmp_path):
+    """The table may be read by what replaces it; only the first one replaced is kept."""
+    from quern.sources import writers as O
+
+    at = str(tmp_path / "t")
+    spark.range(3).write.parquet(at)
+    for k in (1, 2):
+        O.replace_table(spark.read.parquet(at).selectExpr("id + 10 as id"), at)
+        assert sorted(r.id for r in spark.read.parquet(at).collect()) == [10 * k, 10 * k + 1, 10 * k + 2]
+    assert sorted(r.id for r in spark.read.parquet(at + ".bak").collect()) == [0, 1, 2]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t", "t.bak"]
+
+
+def test_page_and_shards_by_the_session(spark, tmp_path):
+    from quern.sources import readers as I
+    from quern.sources import writers as O
+
+    at = str(tmp_path / "page.html")
+    payload = spark.createDataFrame([('[1, "é"]',)], "matrix string")
+    O.write_page(payload, "<p>__DATA__</p>", at, spark)
+    assert O.read_text(spark, at) == '<p>{"matrix": [1, "é"]}</p>'
+    with pytest.raises(ValueError, match="__DATA__"):
+        O.write_page(payload, "<p></p>", at, spark)
+    for n in ("generations_shard_001.csv", "generations_shard_000.csv", "other.csv"):
+        (tmp_path / n).write_text("a\n1\n")
+    assert [p.rsplit("/", 1)[1] for p in I.shards(spark, str(tmp_path))] == ["generations_shard_000.csv", "generations_shard_001.csv"]
+    (tmp_path / "generations_merged.csv").write_text("a\n1\n")
+    assert [p.rsplit("/", 1)[1] for p in I.shards(spark, str(tmp_path))] == ["generations_merged.csv"]

@@ -99,3 +99,33 @@ def test_domain_interval_and_hot_hash(spark):
     assert S.frontier_states(g, f, c).agg({"n": "sum"}).first()[0] == 300 * 200
     r = S.hit_rate(g, f, c).first()
     assert (r.joined, r.n, r.hit_rate) == (60_000, 250, 240.0)
+
+
+def test_served_comparisons(spark):
+    """Six comparisons: joint states are those of a plain many-to-many join, and those without rows stay, empty."""
+    import hashlib
+
+    from quern.config import served_comparisons
+
+    cs = served_comparisons(["s1", "s2"])
+    assert len(cs) == 6 and len({c.name for c in cs}) == 6
+    r = random.Random(8)
+    h = lambda p: hashlib.md5(p.encode()).hexdigest()[:12]
+    own, served = [], []
+    for c in cs[::2]:
+        for d in ("tacred", "pg_fiction"):
+            own += [(len(own) + k, d, *c.a, c.a[2], "gen_constrained", f"p{k % 6}", "ab"[k % 2], r.choice(["a", "b", "other"])) for k in range(20)]
+    for k in range(60):
+        served.append((r.choice(["tacred", "pg_fiction"]), h(f"p{k % 8}"), "s1", "gen_constrained", "ab"[k % 2], r.choice(["a", "b", "none"])))
+    g = spark.createDataFrame(own, SCHEMA)
+    f = spark.createDataFrame(served, "eval_dataset_name string, prompt_hash string, model_id string, gen_type string, relation string, generated_relation string")
+    got = {(x.comparison, x.eval_dataset_name): x.n for x in S.served_states(g, f, cs).groupBy("comparison", "eval_dataset_name").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    want = {}
+    for c in cs:
+        for x in own:
+            for y in served:
+                if x[2:5] == c.a and y[2] == c.b[0] and x[1] == y[0] and h(x[7]) == y[1] and x[1] in S.datasets_of(c.domain):
+                    want[c.name, x[1]] = want.get((c.name, x[1]), 0) + 1
+    assert got == want and want
+    d = S.listed_first(S.clustered(S.served_states(g, f, cs), 200), [c.name for c in cs]).orderBy("place").collect()
+    assert [x.comparison for x in d] == [c.name for c in cs] and {x.delta is None for x in d if "s2" in x.comparison} == {True}

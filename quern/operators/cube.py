@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.config import CONSTRAINED, KEYS
 from quern.functions import text as T
+from quern.session import gathered
 
 
 def labelled(rows: DataFrame, normalizer: str = "n1", keys: list[str] = KEYS) -> DataFrame:
@@ -67,7 +68,9 @@ def deduplicated(rows: DataFrame, mode: str = "if_multiple", order: str = "gen_i
     same = [*KEYS, "prompt_hash", "relation"]
     if mode == "always":
         return drop_duplicates(rows, same, order)
-    flags = group_sizes(rows).where("flagged").select("eval_dataset_name").distinct()
-    hit = rows.join(F.broadcast(flags), "eval_dataset_name", "left_semi")  # at most one row for each dataset
-    rest = rows.join(F.broadcast(flags), "eval_dataset_name", "left_anti")
-    return drop_duplicates(hit, same, order).unionByName(rest)
+    # the names of the datasets, counted by an action of its own: what is not flagged is then not shuffled, and clean or wholly repeated tables are scanned once more only
+    names = [r[0] for r in gathered(group_sizes(rows).where("flagged").select("eval_dataset_name").distinct())]
+    if not names:
+        return rows
+    own = F.coalesce(F.col("eval_dataset_name").isin(names), F.lit(False))
+    return drop_duplicates(rows.where(own), same, order).unionByName(rows.where(~own))

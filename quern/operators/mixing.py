@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.config import DATASETS, MixSpec
 from quern.functions import text as T
+from quern.session import MOST_SENT, sent
 
 SPLITS = {"train": "train", "eval": "validation", "test": "test"}
 
@@ -62,14 +63,16 @@ def first_n(df: DataFrame, by: list[str], n: Column, seed: int | Column, key: st
     names = [f"_by{k}" for k in range(len(by))]
     d = df.withColumns({x: F.coalesce(F.col(b).cast("string"), F.lit("\x00")) for x, b in zip(names, by)}).withColumn("_order", h)
     narrow = d.select(*names, "_order", n.cast("long").alias("_n"), F.substring("_order", 1, 4).alias("_slice"))
+    few = narrow.select(*names).distinct()
+    send = F.broadcast if few.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda x: x  # a row for each group, counted
     slices = narrow.groupBy(*names, "_slice", "_n").agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy(*names).orderBy("_slice"))  # at most 65,536 rows for each group
     edge = slices.withColumn("upto", upto).where(F.col("upto") > F.col("_n"))
     edge = edge.groupBy(*names).agg(F.min("_slice").alias("_slice"), F.min_by(F.col("_n") - (F.col("upto") - F.col("k")), "_slice").alias("_left"))
-    inside = narrow.drop("_n").join(F.broadcast(edge), [*names, "_slice"])  # a row for each group
+    inside = narrow.drop("_n").join(send(edge), [*names, "_slice"])
     ranked = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy("_order")))  # of one slice in 65,536
     last = ranked.groupBy(*names).agg(F.coalesce(F.max(F.when(F.col("_k") <= F.col("_left"), F.col("_order"))), F.min("_slice")).alias("_last"))
-    return d.join(F.broadcast(last), names, "left").where("_last is null or _order <= _last").select(*df.columns)
+    return d.join(send(last), names, "left").where("_last is null or _order <= _last").select(*df.columns)
 
 
 def cap(df: DataFrame, most: int | None, seed: int, by: list[str] = ("dataset",), key: str = "example_id") -> DataFrame:
@@ -84,7 +87,7 @@ def sizes(df: DataFrame, by: list[str]) -> DataFrame:
 def with_least(df: DataFrame, sizes_of: DataFrame, least: Column, split: str | None) -> DataFrame:
     """df with _least: the size that each group may have, of each split by itself or, without splits, one number for all."""
     if split:
-        return df.join(F.broadcast(sizes_of.groupBy(split).agg(least.alias("_least"))), split)  # a row for each split
+        return df.join(sent(sizes_of.groupBy(split).agg(least.alias("_least")), df.select(split).distinct()), split)
     return df.withColumn("_least", F.lit(sizes_of.agg(least).first()[0] or 0))
 
 

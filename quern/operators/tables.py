@@ -46,7 +46,7 @@ def main_summary(metrics: DataFrame, meta: DataFrame) -> DataFrame:
     """Mean F1 over general, literary and all datasets of each configuration; a domain without datasets is null."""
     d = reported_zero(primary(metrics)).groupBy("model_id", "model_shot", "tuned_dataset_name")
     d = d.agg(F.round(mean_in(GENERAL), 4).alias("general_avg_f1"), F.round(mean_in(LITERARY), 4).alias("literature_avg_f1"), F.round(F.avg("micro_f1"), 4).alias("overall_avg_f1"))
-    d = d.join(F.broadcast(meta.select("model_id", "param_label")), "model_id", "left")  # a row for each model
+    d = d.join(meta.select("model_id", "param_label"), "model_id", "left")
     d = d.select(F.col("model_id").alias("base_model"), F.coalesce("param_label", F.lit("")).alias("params"), F.concat(F.col("model_shot").cast("string"), F.lit("-shot")).alias("prompt_style"), regime().alias("tuning_regime"), "general_avg_f1", "literature_avg_f1", "overall_avg_f1")
     order = lambda c, values: lookup(F.col(c), {v: k for k, v in enumerate(values)}, F.lit(99))
     return d.orderBy("base_model", order("params", ["360M", "0.5B", "3B"]), order("prompt_style", ["0-shot", "2-shot"]), order("tuning_regime", list(REGIMES.values())))
@@ -75,7 +75,7 @@ def prompt_delta(metrics: DataFrame) -> DataFrame:
 def efficiency(metrics: DataFrame, meta: DataFrame) -> DataFrame:
     """F1 for a billion parameters and for a gigabyte of each configuration; null where the size is unknown or 0."""
     d = primary(metrics).groupBy("model_id", "model_shot", "tuned_dataset_name").agg(F.round(mean_in(LITERARY), 4).alias("literature_avg_f1"), F.round(F.avg("micro_f1"), 4).alias("overall_avg_f1"))
-    d = d.join(F.broadcast(meta.select("model_id", "params_b", "checkpoint_gb", "avg_inference_latency_ms")), "model_id", "left")
+    d = d.join(meta.select("model_id", "params_b", "checkpoint_gb", "avg_inference_latency_ms"), "model_id", "left")
     name = F.concat("model_id", F.lit(" ("), regime(), F.lit(", "), F.col("model_shot").cast("string"), F.lit("-shot)"))
     per_gb = F.when(F.col("checkpoint_gb") > 0, F.round(F.col("overall_avg_f1") / F.col("checkpoint_gb"), 4))
     return d.select(name.alias("model"), "model_id", "params_b", "checkpoint_gb", "avg_inference_latency_ms", "literature_avg_f1", "overall_avg_f1", F.round(F.col("overall_avg_f1") / F.col("params_b"), 4).alias("f1_per_b_params"), per_gb.alias("f1_per_gb")).orderBy(F.desc("overall_avg_f1"), "model")
@@ -209,7 +209,7 @@ def adapted_or_base(adapted: DataFrame, base: DataFrame) -> DataFrame:
 def label_complexity(metrics: DataFrame, groups: DataFrame) -> DataFrame:
     """Spread of F1 over configurations by dataset beside the number of labels; groups: (dataset, domain, n_labels)."""
     d = primary(metrics).groupBy(F.col("eval_dataset_name").alias("dataset")).agg(F.round(F.avg("micro_f1"), 4).alias("mean_micro_f1"), F.round(F.stddev_samp("micro_f1"), 4).alias("std_micro_f1"), F.round(F.min("micro_f1"), 4).alias("min_micro_f1"), F.round(F.max("micro_f1"), 4).alias("max_micro_f1"), F.count("micro_f1").alias("n_configs"))
-    d = d.join(F.broadcast(groups.select("dataset", "n_labels")), "dataset", "left")
+    d = d.join(groups.select("dataset", "n_labels"), "dataset", "left")
     return d.select("dataset", F.coalesce("n_labels", F.lit(-1)).alias("n_labels"), "mean_micro_f1", "std_micro_f1", "min_micro_f1", "max_micro_f1", "n_configs", F.when(F.col("dataset").isin(LITERARY), "literary").otherwise("general").alias("domain")).orderBy("n_labels", "dataset")
 
 

@@ -433,7 +433,7 @@ def agg_a22_percentile_linear(spark, sf):
 def agg_a33_latency_mean(spark, sf):
     m = read(spark, sf, "model_metadata")
     g = m.groupBy("scale_group").agg(F.round(F.avg("avg_inference_latency_ms"), 4).alias("group_latency_ms"), F.round(F.avg("checkpoint_gb"), 4).alias("group_gb"))
-    return m.select("model_id", "scale_group", "avg_inference_latency_ms").join(F.broadcast(g), "scale_group", "left")
+    return m.select("model_id", "scale_group", "avg_inference_latency_ms").join(g, "scale_group", "left")
 
 
 # joins and grids

@@ -171,7 +171,7 @@ def stat_b08_ols_slope_plain(spark, sf):
 def sized(spark, sf):
     """Metrics of the main condition without the anomalies, with size and family of the model."""
     d = R.keep_configs(C.primary(evaluated(spark, sf)), ANOMALIES, False)
-    d = d.join(F.broadcast(read(spark, sf, "model_metadata").select("model_id", "params_b")), "model_id")
+    d = d.join(read(spark, sf, "model_metadata").select("model_id", "params_b"), "model_id")
     return d.withColumn("family", lookup(F.col("model_id"), FAMILY, F.lit("unknown")))
 
 

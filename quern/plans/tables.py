@@ -10,7 +10,7 @@ from quern.operators import metrics as M
 from quern.operators import tables as R
 from quern.plans.base import DOMAIN, DS, IN_GEN, IN_LIT, METRICS, PRIM, REGIME, is_config, listed, metrics_sql, query, read
 from quern.plans.metrics import case, evaluated
-from quern.session import fresh
+from quern.session import fresh, gathered
 
 W = f"with {METRICS}, {PRIM}"
 AVG = lambda cond, x="micro_f1": f"avg(case when {cond} then {x} end)"
@@ -122,8 +122,6 @@ def tab_r10_frontier_table(spark, sf):
 
 @query(f"{FRONT} select eval_dataset_name, {', '.join(f'round(max(case when model_id = {Q}{m}{Q} then micro_f1 end), 4) as {chr(34)}{m}{chr(34)}' for m in SERVED)} from metrics_ group by all")
 def tab_r11_frontier_pivot(spark, sf):
-    from quern.sources.writers import gathered
-
     models = [r[0] for r in gathered(read(spark, sf, "frontier_generation").where("model_id is not null").select("model_id").distinct())]  # a column for each
     return R.frontier_pivot(frontier(spark, sf), sorted(models))
 
@@ -259,8 +257,8 @@ def join_j05_shot_pair(spark, sf):
 
 @query(f"{W} select m.*, param_label, params_b, checkpoint_gb, domain from metrics_ m left join model_metadata d on m.model_id = d.model_id left join dataset_group g on m.eval_dataset_name = g.dataset")
 def join_j08_dim_lookup(spark, sf):
-    d = evaluated(spark, sf).join(F.broadcast(read(spark, sf, "model_metadata").select("model_id", "param_label", "params_b", "checkpoint_gb")), "model_id", "left")
-    return d.join(F.broadcast(read(spark, sf, "dataset_group").select(F.col("dataset").alias("eval_dataset_name"), "domain")), "eval_dataset_name", "left")
+    d = evaluated(spark, sf).join(read(spark, sf, "model_metadata").select("model_id", "param_label", "params_b", "checkpoint_gb"), "model_id", "left")
+    return d.join(read(spark, sf, "dataset_group").select(F.col("dataset").alias("eval_dataset_name"), "domain"), "eval_dataset_name", "left")
 
 
 @query(f"{W} select * from metrics_ where {'gen_type = ' + Q + 'gen_constrained' + Q} and model_shot = prompt_shot")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,7 +56,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+MOST_ROWS = 10_000  # of a table that is made on the driver
+MOST_SENT = 100_000  # rows of a table that is sent to all tasks
+
+
+def gathered(df: DataFrame, most: int = MOST_ROWS) -> list:
+    """All rows of a small table; raises if there are more."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows
+
+
+def sent(df: DataFrame, groups: DataFrame | None = None, most: int = MOST_SENT) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows, which is counted, else as it is, for a join by shuffle. groups: what is counted instead, if cheaper and not fewer rows."""
+    return F.broadcast(df) if (df if groups is None else groups).limit(most + 1).count() <= most else df
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """The rows of a scan over all cores, if it has fewer partitions than there are cores, as a table of one small file has. Large inputs are left as they are: they cost no shuffle."""
+    """The rows of a scan over all cores, if it has fewer partitions than there are cores, as a table of one small file has. Large inputs are left as they are: they cost no shuffle.
+
+    The one place where a plan depends on the size of the input: a small one gains a shuffle by it, its rows and their results are the same.
+    """
     n = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import DATASETS
+from quern.session import gathered
 
 FORMATS = ("csv", "parquet")
 
@@ -65,17 +66,6 @@ def replace_table(df: DataFrame, path: str, backup: str = ".bak") -> None:
         fs.delete(gone, True)
 
 
-MOST_ROWS = 10_000  # of a table that is made on the driver
-
-
-def gathered(df: DataFrame, most: int = MOST_ROWS) -> list:
-    """All rows of a small table; raises if there are more."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows")
-    return rows
-
-
 def best_flags(matrix: DataFrame, columns: list[str]) -> DataFrame:
     """The table with best_<column>: whether a value is the column's largest."""
     most = matrix.agg(*[F.max(c).alias(c) for c in columns]).first()  # one row

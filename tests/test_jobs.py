@@ -24,3 +24,6 @@ def test_run(spark, tmp_path, capsys):
     run(spark, "tables", DATA, out, "csv", overwrite=True, only=["main_summary"])
     with pytest.raises(ValueError, match="no results"):
         run(spark, "tables", DATA, out, only=["x"])
+    assert run(spark, "tables", DATA, out, only=["main_summary", "results_matrix"], resume=True) == []
+    os.remove(out + "/tables/main_summary/_DONE")
+    assert run(spark, "tables", DATA, out, only=["main_summary", "results_matrix"], resume=True) == [out + "/tables/main_summary"]

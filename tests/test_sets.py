@@ -149,7 +149,7 @@ def test_means_of_rounded_cells(spark):
 
 def test_splits_and_rows_beyond_a_bound_raise(spark, monkeypatch):
     """A table with more splits, or a driver's table with more rows, than the bound is an error, never cut."""
-    from quern.sources import writers as O
+    from quern import session as O
 
     monkeypatch.setattr(X, "MOST_SPLITS", 5)
     many = spark.range(7).select(F.concat(F.lit("s"), "id").alias("split"))
@@ -192,3 +192,16 @@ def test_remaining(spark):
     done = spark.createDataFrame([("a", "x")] * 50 + [(None, "x")], "d string, h string")
     assert ids(G.remaining(todo, done, ["d", "h"]), "id") == [2, 3, 4, 4]
     assert G.remaining(todo, done.limit(0), ["d", "h"]).count() == 5
+
+
+def test_many_groups_are_joined_by_shuffle(spark, monkeypatch):
+    """More groups than may be sent to all tasks: the same rows, without a broadcast."""
+    df = source(spark)
+    want = [ids(X.cap(df, 7, 42)), ids(X.domain_balanced(df, ["pg_fiction"], 42, split="split"))]
+    from quern import session
+
+    monkeypatch.setattr(X, "MOST_SENT", 1)
+    monkeypatch.setattr(session.sent, "__defaults__", (None, 1))
+    got = X.cap(df, 7, 42)
+    assert "ResolvedHint (strategy=broadcast)" not in got._jdf.queryExecution().analyzed().toString()
+    assert [ids(got), ids(X.domain_balanced(df, ["pg_fiction"], 42, split="split"))] == want

@@ -68,6 +68,8 @@ OTHERS = frozenset(w for k, v in CLOSED.items() if k != "en" for w in v) - OWN
 OPENERS = ["", "", "", "Sorry, ", "I'm sorry, ", "I am sorry, but ", "I’m sorry, ", "Unfortunately, ", "Apologies, but ", "I apologize, but ", "Regrettably, ", "Well, ", "As an AI, ", "As an AI assistant, ", "As an AI language model, ", "As a language model, ", "Based on this alone, "]
 DENIALS = ["I cannot {v}", "I can't {v}", "I can’t {v}", "I could not {v}", "I couldn't {v}", "I am unable to {v}", "I'm unable to {v}", "unable to {v}", "cannot {v}", "I am not able to {v}", "I'm not able to {v}", "I will not {v}", "I won't {v}", "I do not wish to {v}", "I must decline to {v}", "I decline to {v}", "I refuse to {v}", "I prefer not to {v}", "I would rather not {v}", "it is impossible to {v}", "it is not possible to {v}", "it is impossible for me to {v}", "it is not possible for me to {v}", "there is no way to {v}", "I do not know how to {v}", "I don't {v}", "I do not {v}", "I don’t {v}", "there is not enough {n} to {v}", "there is too little {n} to {v}", "I do not have enough {n} to {v}", "I don't have enough {n} to {v}", "I lack the {n} to {v}", "insufficient {n} to {v}", "the {n} does not allow me to {v}", "no {n} is given to {v}"]
 VERBS = "answer|tell|say|determine|decide|identify|judge|name|label|classify|infer|conclude|provide|give|help with|comment on|speculate about|guess|respond to|assist with|comply with|choose|establish|know|fulfil".split("|")
+DENYING = frozenset("cannot can't can’t couldn't couldn’t won't won’t don't don’t unable not refuse decline impossible insufficient".split())
+ANSWERING = frozenset(v for v in VERBS if " " not in v)
 NOUNS = "information|context|detail|evidence|text|data|knowledge|background".split("|")
 OBJECTS = ["", " this", " that", " it", " this pair", " this request", " this question", " the relation", " the label", " a relation", " an answer", " the requested relation", " the relation of these entities", " how they are related", " the relation between {a} and {b}", " from this text", " that from the text given"]
 TAILS = ["", "", ".", ".", "!", ". More context is needed.", ". Please give more text.", ". Could you provide more context?"]
@@ -99,7 +101,7 @@ def lexicons(folder: str) -> dict[str, float]:
     openings = {w[:n] for w in english for n in range(3, len(w))}
     british = lambda w: w.replace("our", "or").replace("is", "iz")
     out = {w: 1.0 if w not in many else max(0.4, min(1.0, math.log2(many[w] / r))) for w, r in english.items() if len(w) > 1}
-    out |= {w: -1.0 for w in OTHERS if len(w) <= 3 or w in many and many[w] < english.get(w, 1 << 20)}
+    out |= {w: -1.0 for w in OTHERS if len(w) <= 3 or w in many and 4 * many[w] < english.get(w, 1 << 20)}
     out |= {w: 1.0 for w in OWN}
     out |= {w: -1.0 for w in many if w not in english and w not in openings and not inflects(w, out) and not inflects(british(w), out)}
     return out
@@ -262,8 +264,10 @@ class Extractor:
             d[51] = 2.0 * (closed > 0 and d[40] < 0.4)
         else:
             d[48] = 1.0
-        if said and (w := said[-1]) != "\0" and not ended and core[-1:].isalpha() and w in self.openings and w not in self.words and self.english(w) <= 0 and not any(w + e in self.tongue for e in ("s", "d", "r", "ed", "ing")) and not (short and self.nearness(w) > 0.55):
+        if said and (w := said[-1]) != "\0" and not ended and core[-1:].isalpha() and w in self.openings and w not in self.words and self.english(w) <= 0 and not (len(w) > 4 and any(w + e in self.tongue for e in ("s", "d", "r", "ed", "ing"))) and not (short and self.nearness(w) > 0.55):
             d[52] = 2.0  # breaks off inside a word
+        if not DENYING.isdisjoint(ws) and not ANSWERING.isdisjoint(ws):
+            d[55] = 2.0  # denies an act of answering
         if any("\u00c0" <= c <= "\u024f" for w in shown for c in w):
             d[49] = 1.0
         if masked and n <= masked + 4:
@@ -348,17 +352,20 @@ class Rows:
 
 
 def fit(rows: Rows, y: np.ndarray, rng: np.random.Generator, epochs: int = 8, l2: float = 1e-6) -> np.ndarray:
-    """Logistic regression by AdaGrad over shuffled blocks."""
-    w, g2 = np.zeros(WIDTH + DENSE), np.full(WIDTH + DENSE, 1e-3)
+    """Logistic regressions, one for each row of y, by AdaGrad over shuffled blocks that all of them share."""
+    w, g2 = np.zeros((len(y), WIDTH + DENSE)), np.full((len(y), WIDTH + DENSE), 1e-3)
     for _ in range(epochs):
         order = rng.permutation(rows.n)
         for k in range(0, rows.n, 256):
-            part = rows.take(order[k : k + 256])
-            err = 1 / (1 + np.exp(-np.clip(part.dot(w), -30, 30))) - y[order[k : k + 256]]
+            which = order[k : k + 256]
+            part = rows.take(which)
             used, at = np.unique(part.idx, return_inverse=True)
-            g = np.bincount(at, part.val * np.repeat(err, part.lens)) / part.n + l2 * w[used]
-            g2[used] += g * g
-            w[used] -= 0.15 * g / np.sqrt(g2[used])
+            own = w[:, used]
+            score = np.add.reduceat(part.val * own[:, at], part.starts[:-1], axis=1)
+            err = np.repeat(1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[:, which], part.lens, axis=1) * part.val
+            g = np.stack([np.bincount(at, e, len(used)) for e in err]) / part.n + l2 * own
+            g2[:, used] += g * g
+            w[:, used] -= 0.15 * g / np.sqrt(g2[:, used])
     return w
 
 
@@ -419,7 +426,8 @@ def synthetic(prompts: list[str], labels: list[str], foreign: list[str], tongue:
     chance = lambda p: rng.random() < p
     parsed = [Prompt(p) for p in prompts]
     single = [x for x in labels if len([w for w in TOKEN.findall(CAMEL.sub(" ", x.replace("_", " ")).lower()) if w not in BETWEEN]) == 1 or "relation" in x.lower()] or labels
-    english = [w for w, v in tongue.items() if v > 0.9 and len(w) > 2 and w not in VERBS and w not in NOUNS] or ["word"]
+    own = tuple(w[:5] for w in VERBS + NOUNS)  # inflections of these are no plain words either
+    english = [w for w, v in tongue.items() if v > 0.9 and len(w) > 2 and not w.startswith(own)] or ["word"]
     tongues, latin = scripts(tongue), [k for k in CLOSED if k != "en"]
     some = lambda n, xs=english: [pick(xs) for _ in range(n)]
     for p in parsed:
@@ -478,7 +486,7 @@ def synthetic(prompts: list[str], labels: list[str], foreign: list[str], tongue:
             x = opener + (x if opener or chance(0.3) else x[0].upper() + x[1:]) + ("" if chance(0.3) else fill(pick(OBJECTS))) + pick(TAILS)
             x = fill(pick(["{x}"] * 6 + ["Answer: {x}", "<think>\n{s}\n</think>\n{x}", "<think>\nyes\n</think>\n{x}"]), x=x, s=full if chance(0.6) else " ".join(some(2)))
             add(x.upper() if chance(0.1) else x, "refusal")
-        if chance(0.5):
+        if chance(0.8):
             x = pick(DENIALS).format(v=pick(VERBS), n=pick(NOUNS))
             add((x[0].upper() + x[1:] if chance(0.5) else x) + pick(["", "", "."]), "refusal")
         # copied
@@ -553,12 +561,10 @@ def train(prompts: list[str], entries: list[tuple], texts: list[str], seed: int
     rows = Rows([ex.row(p, r) for p, r, _ in pairs])
     held = rng.random(rows.n) < 0.25
     a, b = rows.take(np.nonzero(~held)[0]), rows.take(np.nonzero(held)[0])
-    weights, cuts = [], []
-    for d in DEFECTS:
-        y = np.array([p[2] == d for p in pairs], float)
-        weights.append(w := fit(a, y[~held], rng))
-        cuts.append(threshold(b.dot(w), y[held]))
-    return Model(entries, tongue, np.array(weights), np.array(cuts))
+    y = np.array([[p[2] == d for p in pairs] for d in DEFECTS], float)
+    weights = fit(a, y[:, ~held], rng)
+    cuts = [threshold(b.dot(w), z) for w, z in zip(weights, y[:, held])]
+    return Model(entries, tongue, weights, np.array(cuts))
 
 
 def predict(model: Model, ex: Extractor, prompts: list[str], responses: list[str], kept: dict) -> list[str | None]:

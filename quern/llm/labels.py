@@ -359,7 +359,15 @@ class Vocabulary:
             before = [i for i, _ in own.get(end, ())]  # a glued token: its first word is whole, the second cut off
             own[end] = [({**i, w: s}, 0.0) for w, s in cut.items() for i in (before or [{}]) if w not in i]
         best, most = 0.0, 0
+        # of a run of places that read alike only the first and the last can bound the best window
         line = list(own.items())
+        line = [x for k, x in enumerate(line) if not (0 < k < len(line) - 1 and line[k - 1][1] == x[1] == line[k + 1][1])]
+        top: dict[str, float] = {}
+        for _, readings in line:
+            for inside, _ in readings:
+                for w, s in inside.items():
+                    top[w] = max(top.get(w, 0.0), s)
+        bound = sum(self.idf2[w] * s for w, s in top.items()) / math.sqrt(norm * sum(self.idf2[w] for w in top)) if top else 0.0
         for k, (start, _) in enumerate(line):
             have: dict[str, float] = {}
             mine = dot = less = 0.0  # less: weight of the entry's places
@@ -376,9 +384,9 @@ class Vocabulary:
                 others = max(0.0, weight[at + 1] - weight[start] - less)
                 if gain and (score := dot / math.sqrt(norm * (mine + others))) > best + 1e-9:
                     best, most = score, at
-                if others > norm / LEAST**2:  # no further word makes up for these
+                if others > norm / LEAST**2 or have == top:  # no further word makes up for these, or there is none
                     break
-            if best > 1 - 1e-9:
+            if best > bound - 1e-9:
                 break
         return best, most
 

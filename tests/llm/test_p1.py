@@ -111,3 +111,13 @@ def test_as_many_entries_as_allowed():
             assert {words[x] for x in pairs[v.entry("d", value)]} == {a, b}
     v.repair({"".join(r.choice(parts, 5)) for _ in range(200)})
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 3_000_000
+
+
+def test_long_values_are_linear(vocabulary):
+    import time
+
+    for value, want in [("registrar " * 50_000, -1), ("registrra of the parihs " * 20_000, 1), ("registrar of parisg, steward " * 20_000, 1), ("keeper and fleet far away " * 10_000 + "keeper of fleeet", 3)]:
+        began = time.perf_counter()
+        vocabulary.repair(set(L.tokens_of(L.clean(value))))
+        assert vocabulary.entry("rebel", value) == want, value[:40]
+        assert time.perf_counter() - began < 20
